@@ -25,7 +25,7 @@ def word_set(text: Column) -> Column:
 
 def set_key(word_array: Column) -> Column:
     """Digest of a word set: equal for equal sets whatever their order."""
-    return F.sha2(F.array_join(F.array_sort(word_array), " "), 256)
+    return F.sha2(F.array_join(F.sort_array(word_array), " "), 256)
 
 
 def jaccard(left: Column, right: Column) -> Column:

@@ -33,3 +33,13 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a source has fewer splits than the cluster has cores.
+
+    A small table in one file would be worked on by one task; a large table has
+    enough splits and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
