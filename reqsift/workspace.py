@@ -13,7 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _root(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
+    """This application's own folder below the checkpoint folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):
@@ -30,7 +31,7 @@ def materialize(df: DataFrame) -> DataFrame:
     sizes give the optimizer true statistics for its join choices.
     """
     spark = df.sparkSession
-    path = f"{_root(spark)}/{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
