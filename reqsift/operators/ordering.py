@@ -34,10 +34,10 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name:
     )
     within = Window.partitionBy(*group, "_part").orderBy(*order)
     return (
-        placed.withColumn("_nth", F.row_number().over(within))
+        placed.withColumn("_local", F.row_number().over(within))
         .join(starts, [*group, "_part"])
-        .withColumn(name, F.col("_start") + F.col("_nth"))
-        .drop("_part", "_nth", "_start")
+        .withColumn(name, F.col("_start") + F.col("_local"))
+        .drop("_part", "_local", "_start")
     )
 
 
