@@ -1,0 +1,271 @@
+import json
+import sys
+import tempfile
+
+import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+from reqsift import schemas
+from reqsift.operators import enrich, metrics, ordering, scoring
+from reqsift.plans import flows
+from reqsift.sources import readers, sinks
+
+# The stub models below run in workers that cannot import this file.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+RECORD = "project string, cand_order long, title string, description string, type string"
+
+
+def new_path():
+    return tempfile.mkdtemp(prefix="spark-test-") + "/t"
+
+
+def test_numbers_follow_the_order_in_a_large_group(spark):
+    rows = spark.range(5000).select(
+        F.when(F.col("id") % 3 == 0, "big").otherwise(F.concat(F.lit("p"), F.col("id") % 7)).alias("project"),
+        (F.col("id") * 7919 % 5003).alias("cand_order"),
+    )
+    got = ordering.assign_ids(rows).toPandas()
+    for project, part in got.groupby("project"):
+        part = part.sort_values("cand_order")
+        assert list(part["requirement_id"]) == [
+            f"{project.upper()}-{n:03d}" for n in range(1, len(part) + 1)
+        ]
+
+
+def test_one_bad_row_does_not_spoil_the_batch(spark):
+    df = spark.range(6).withColumn("nested", F.struct(F.col("id").alias("x")))
+
+    def fn(row):
+        if row["id"] == 2:
+            raise ValueError("bad row")
+        return {"twice": row["id"] * 2}
+
+    got = scoring.score_rows(df, fn, ["id"], {"twice": "bigint"}).orderBy("id").collect()
+    assert [r.twice for r in got] == [0, 2, None, 6, 8, 10]
+    assert [r.error for r in got] == [None, None, "bad row", None, None, None]
+    assert got[5].nested.x == 5
+
+
+def test_rows_without_a_response(spark):
+    rows = spark.range(2).withColumnRenamed("id", "k")
+    responses = spark.createDataFrame([(1, "yes")], "k long, answer string")
+    got = scoring.join_responses(rows, responses, ["k"]).orderBy("k").collect()
+    assert [(r.answer, r.error) for r in got] == [(None, "no response"), ("yes", None)]
+
+
+def test_demos_are_the_first_agreeing_examples(spark):
+    rows = [(n, "yes" if n < 6 else "no", "YES" if n % 2 else "no") for n in range(12)]
+    scored = spark.createDataFrame(rows, "example_order long, label string, predicted string")
+    first = scoring.select_demos(scored, 4).collect()
+    assert sorted(r.example_order for r in first) == [1, 3, 5, 6]
+    each = scoring.select_demos(scored, 2, per_label=True).collect()
+    assert sorted(r.example_order for r in each) == [1, 3, 6, 8]
+
+
+def test_quality_of_known_counts(spark):
+    counts = spark.createDataFrame(
+        [("a", 22, 26, 13, 9, 13), ("none", 0, 0, 0, 0, 0), ("missed", 3, 0, 0, 3, 0)],
+        "project string, gt long, extracted long, true_positives long, false_negatives long, false_positives long",
+    )
+    got = {r.project: (r.precision, r.recall, r.f1_score) for r in metrics.quality(counts).collect()}
+    assert got["a"] == pytest.approx((0.5, 13 / 22, 0.5416666667))
+    assert got["none"] == got["missed"] == (0.0, 0.0, 0.0)
+
+
+def test_context_is_the_start_of_the_joined_pages(spark):
+    texts = ["first " * 300, "", "second " * 300, "third " * 300]
+    pages = spark.createDataFrame(
+        [("p", 1, n, t) for n, t in enumerate(texts)] + [("p", 2, n, "") for n in range(3000)],
+        "project string, doc_id long, page_no int, text string",
+    )
+    got = {r.doc_id: r.source_text for r in enrich.source_context(pages).collect()}
+    assert got == {1: "\n\n".join(texts)[:4000], 2: "\n" * 4000}
+
+
+def test_primary_text_or_fallback_pages(spark):
+    primary = spark.createDataFrame(
+        [("p", 1, "x" * 101), ("p", 2, " " + "x" * 100), ("p", 3, ""), ("p", 4, None)],
+        "project string, doc_id long, text string",
+    )
+    fallback = spark.createDataFrame(
+        [("p", 1, 1, "no"), ("p", 2, 1, "page"), ("p", 2, 2, " \n"), ("p", 3, 1, "  ")],
+        "project string, doc_id long, page_no int, text string",
+    )
+    pages, rejects = readers.resolve_pages(primary, fallback)
+    assert {(r.doc_id, r.text) for r in pages.collect()} == {(1, "x" * 101), (2, "page")}
+    assert {r.doc_id for r in rejects.collect()} == {3, 4}
+
+
+def test_documents_are_decoded_file_by_file(spark):
+    path = tempfile.mkdtemp(prefix="spark-test-")
+    for name, body in {"a.txt": b"one\x0ctwo", "b.txt": b"\xff"}.items():
+        with open(f"{path}/{name}", "wb") as file:
+            file.write(body)
+
+    def decode(content):
+        return enumerate(content.decode().split("\x0c"), 1)
+
+    rows = readers.read_documents(spark, path, decode, "p").collect()
+    assert {(r.page_no, r.text) for r in rows if r.error is None} == {(1, "one"), (2, "two")}
+    assert sum(r.error is not None for r in rows) == 1
+
+
+def test_truth_rows(spark):
+    sheet = spark.createDataFrame(
+        [(1, 9, "head", None), (2, 9, "head", None), (3, 5, "name", None), (4, 0, "zero", "d"),
+         (5, None, "null", "d"), (6, 7, "", "d"), (7, 8, "full", "text")],
+        "row_no long, id int, name string, description string",
+    )
+    got = readers.truth_records(sheet, "row_no", "id", "name", "description", F.lit("p")).collect()
+    assert [tuple(r) for r in got] == [("p", 3, "5", "name", ""), ("p", 7, "8", "full", "text")]
+
+
+def test_examples_get_an_answer_and_a_reason(spark):
+    rows = spark.createDataFrame([(True,), (False,)], "is_requirement boolean")
+    got = readers.labelled_examples(rows).collect()
+    assert [r.label for r in got] == ["yes", "no"]
+    assert [r.reason for r in got] == [readers.REASON_YES, readers.REASON_NO]
+
+
+def test_saved_documents_have_bounded_parts_and_read_back_whole(spark):
+    rows = [("a", n, f"t{n}", "d", "UI") for n in range(25)] + [("b", 0, "t", None, None)]
+    numbered = ordering.assign_ids(spark.createDataFrame(rows, RECORD))
+    documents = sinks.requirement_documents(numbered, part_rows=10)
+    sizes = {(r.project, r.part, r.parts): len(r.requirements) for r in documents.collect()}
+    assert sizes == {("a", 0, 3): 10, ("a", 1, 3): 10, ("a", 2, 3): 5, ("b", 0, 1): 1}
+    path = new_path()
+    sinks.write_documents(documents, path)
+    back = readers.read_requirements(spark, path).orderBy("project", "ext_order").collect()
+    assert [r.title for r in back] == [f"t{n}" for n in range(25)] + ["t"]
+    assert back[-1].requirement_id == "B-001"
+
+
+def test_indented_document_of_one_project(spark):
+    path = new_path()
+    with open(path, "w") as file:
+        json.dump(
+            {"project": "p", "requirements": [{"title": "a", "requirement_id": "P-001"}, {"title": "b"}]},
+            file,
+            indent=2,
+        )
+    rows = readers.read_requirements(spark, path, multi_line=True).orderBy("ext_order").collect()
+    assert [(r.project, r.ext_order, r.title) for r in rows] == [("p", 0, "a"), ("p", 1, "b")]
+
+
+def test_nothing_enriched_saved(spark):
+    empty = readers.read_enriched(spark, new_path())
+    assert empty.isEmpty() and empty.columns[2:] == schemas.ENRICHED_FIELDS
+
+
+def test_outcome_rules(spark):
+    rows = [
+        (1, 200, '{"ok": 1}', None),
+        (2, 201, "", None),
+        (3, 404, "x" * 600, None),
+        (4, None, None, "connection refused"),
+        (5, 200, "not json", None),
+    ]
+    answers = spark.createDataFrame(rows, "n int, status_code int, body string, error string")
+    got = {r.n: (r.success, r.status_code, r.error, r.response) for r in sinks.delivery_outcomes(answers).collect()}
+    assert got == {
+        1: (True, 200, None, '{"ok": 1}'),
+        2: (True, 201, None, "{}"),
+        3: (False, 404, "x" * 500, None),
+        4: (False, None, "connection refused", None),
+        5: (False, None, "response is not JSON", None),
+    }
+
+
+def extractor(row):
+    if "broken" in row["document_text"]:
+        raise RuntimeError("model down")
+    items = [{"title": line.split(":")[0], "description": line.split(":")[1]}
+             for line in row["document_text"].split("\n") if ":" in line]
+    return {"raw": "```json\n" + json.dumps(items) + "\n```"}
+
+
+def classifier(row):
+    assert "summary" not in row["title"]
+    return {"is_requirement": "no" if "internal" in row["description"] else " Yes", "reason": "-"}
+
+
+def enricher(row):
+    if row["title"] == "export data":
+        raise RuntimeError("model down")
+    fields = {f: "[]" for f in enrich.RESPONSE_FIELDS}
+    fields.update(
+        user_story="As a user", confidence=" High", acceptance_criteria='["' + row["source_text"][:4] + '"]'
+    )
+    return fields
+
+
+PAGES = [
+    ("ptw", 1, 1, "login form:user signs in with a password\nexecutive summary:of the whole document\n"
+                  "cache layer:internal store of pages"),
+    ("ptw", 1, 2, "login form:user signs in with a long password\nexport data:rows are saved as a sheet"),
+    ("ptw", 1, 3, "broken page, long enough to be shown to the model: nothing comes of it"),
+    ("ptw", 1, 4, "a:b"),
+]
+
+
+def test_the_whole_way(spark, stored):
+    pages = stored(PAGES, "project string, doc_id long, page_no int, text string")
+    found = flows.extract(pages, extractor, classifier)
+    assert {(r.title, r.status) for r in found.candidates.collect()} == {
+        ("login form", "accepted"),
+        ("executive summary", "noise"),
+        ("cache layer", "rejected"),
+        ("export data", "accepted"),
+    }
+    assert found.responses.filter(F.col("error").isNotNull()).count() == 1
+    stages = {
+        (r.stage, r.status): r.rows
+        for r in metrics.stage_counts({"pages": pages, "candidates": found.candidates}).collect()
+    }
+    assert stages[("pages", "all")] == 4 and stages[("candidates", "accepted")] == 3
+
+    done = flows.finalise(found.accepted, pages, enricher, "stub")
+    kept = done.requirements.orderBy("cand_order").collect()
+    assert [(r.requirement_id, r.description) for r in kept] == [
+        ("PTW-001", "user signs in with a long password"),
+        ("PTW-002", "rows are saved as a sheet"),
+    ]
+    good, bad = done.enriched.orderBy("cand_order").collect()
+    assert (good.confidence, good.acceptance_criteria, good.validation_confirmed) == ("high", ["logi"], True)
+    assert (bad.confidence, bad.user_story, bad.validation_confirmed) == ("low", "", False)
+    assert good.metadata.extraction_model == "stub"
+
+    path = new_path()
+    documents = sinks.enriched_documents(done.enriched)
+    sinks.write_documents(documents, path)
+    back = readers.read_enriched(spark, path).orderBy("ext_order").collect()
+    assert [r.short_title for r in back] == ["login form", "export data"]
+
+    targets = spark.createDataFrame(
+        [("ptw", 1, "http://receiver"), ("other", 2, "")], "project string, project_id long, backend_url string"
+    )
+    sent = sinks.deliver(
+        documents, targets, lambda row: {"status_code": 201, "body": json.dumps(row["url"])}
+    ).collect()
+    assert [(r.success, r.response) for r in sent] == [
+        (True, '"http://receiver/api/requirements/project/1"')
+    ]
+
+    ext = done.requirements.withColumnRenamed("cand_order", "ext_order")
+    gt = stored(
+        [("ptw", 3, "1", "login form", ""), ("ptw", 4, "2", "print page", "")],
+        "project string, gt_order long, id string, name string, description string",
+    )
+    result = flows.evaluate(ext, gt)
+    (report,) = result.report.collect()
+    assert tuple(report.metrics) == (0.5, 0.5, 0.5) and tuple(report.counts) == (2, 2, 1, 1, 1)
+    assert [m.gt_id for m in report.matched] == ["1"]
+    assert [m.gt_id for m in report.missed] == ["2"]
+    assert [m.extracted_id for m in report.over_created] == ["PTW-002"]
+    saved = new_path()
+    sinks.write_documents(result.report, saved)
+    assert readers.read_report(spark, saved, "ptw").count() == 1
+    with pytest.raises(LookupError):
+        readers.read_report(spark, saved, "unknown")
