@@ -202,11 +202,11 @@ def enricher(row):
 
 
 PAGES = [
-    ("ptw", 1, 1, "login form:user signs in with a password\nexecutive summary:of the whole document\n"
+    ("demo", 1, 1, "login form:user signs in with a password\nexecutive summary:of the whole document\n"
                   "cache layer:internal store of pages"),
-    ("ptw", 1, 2, "login form:user signs in with a long password\nexport data:rows are saved as a sheet"),
-    ("ptw", 1, 3, "broken page, long enough to be shown to the model: nothing comes of it"),
-    ("ptw", 1, 4, "a:b"),
+    ("demo", 1, 2, "login form:user signs in with a long password\nexport data:rows are saved as a sheet"),
+    ("demo", 1, 3, "broken page, long enough to be shown to the model: nothing comes of it"),
+    ("demo", 1, 4, "a:b"),
 ]
 
 
@@ -229,8 +229,8 @@ def test_the_whole_way(spark, stored):
     done = flows.finalise(found.accepted, pages, enricher, "stub")
     kept = done.requirements.orderBy("cand_order").collect()
     assert [(r.requirement_id, r.description) for r in kept] == [
-        ("PTW-001", "user signs in with a long password"),
-        ("PTW-002", "rows are saved as a sheet"),
+        ("DEMO-001", "user signs in with a long password"),
+        ("DEMO-002", "rows are saved as a sheet"),
     ]
     good, bad = done.enriched.orderBy("cand_order").collect()
     assert (good.confidence, good.acceptance_criteria, good.validation_confirmed) == ("high", ["logi"], True)
@@ -244,7 +244,7 @@ def test_the_whole_way(spark, stored):
     assert [r.short_title for r in back] == ["login form", "export data"]
 
     targets = spark.createDataFrame(
-        [("ptw", 1, "http://receiver"), ("other", 2, "")], "project string, project_id long, backend_url string"
+        [("demo", 1, "http://receiver"), ("other", 2, "")], "project string, project_id long, backend_url string"
     )
     sent = sinks.deliver(
         documents, targets, lambda row: {"status_code": 201, "body": json.dumps(row["url"])}
@@ -255,7 +255,7 @@ def test_the_whole_way(spark, stored):
 
     ext = done.requirements.withColumnRenamed("cand_order", "ext_order")
     gt = stored(
-        [("ptw", 3, "1", "login form", ""), ("ptw", 4, "2", "print page", "")],
+        [("demo", 3, "1", "login form", ""), ("demo", 4, "2", "print page", "")],
         "project string, gt_order long, id string, name string, description string",
     )
     result = flows.evaluate(ext, gt)
@@ -263,9 +263,9 @@ def test_the_whole_way(spark, stored):
     assert tuple(report.metrics) == (0.5, 0.5, 0.5) and tuple(report.counts) == (2, 2, 1, 1, 1)
     assert [m.gt_id for m in report.matched] == ["1"]
     assert [m.gt_id for m in report.missed] == ["2"]
-    assert [m.extracted_id for m in report.over_created] == ["PTW-002"]
+    assert [m.extracted_id for m in report.over_created] == ["DEMO-002"]
     saved = new_path()
     sinks.write_documents(result.report, saved)
-    assert readers.read_report(spark, saved, "ptw").count() == 1
+    assert readers.read_report(spark, saved, "demo").count() == 1
     with pytest.raises(LookupError):
         readers.read_report(spark, saved, "unknown")
