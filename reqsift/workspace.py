@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_folders: dict[str, str] = {}
+
 
 def folder(spark: SparkSession) -> str:
     """This application's own folder below the checkpoint folder."""
@@ -19,8 +21,9 @@ def folder(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="spark-reqsift-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _local_folders.setdefault(
+            spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-reqsift-")
+        )
     return f"{named.rstrip('/')}/reqsift-{spark.sparkContext.applicationId}"
 
 
