@@ -5,20 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reqsift.llm import packing
-from reqsift.llm.common import table
+from reqsift.llm import language, packing, pieces
+from reqsift.llm.common import fold, table
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL)
+    return encoded.select(
+        "doc_id",
+        F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(pieces.decode(F.col("ids"), PIECE_MODEL).cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(fold(F.col("doc_id"), 5) != 0))
+    guess = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        language.predicted(F.col("text"), model).alias("guess"),
+    )
+    return guess.select("doc_id", "held_out", "guess.lang_pred", "guess.score")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op6_packing]
+    named = [op2_pieces, op6_packing, op8_language]
     return {f.__name__: f for f in named}
 
 
