@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reqsift.llm import language, packing, pieces
-from reqsift.llm.common import fold, table
+from reqsift.llm import language, lines, oracles, packing, pieces
+from reqsift.llm.common import fold, table, whole_text
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,18 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.remove_repeats(table(spark, sf_dir, "documents"))
+    runs = F.transform("lines_removed", lambda r: F.concat(r["first"], F.lit("-"), r["last"]))
+    return done.select(
+        "doc_id",
+        F.col("lines_before").alias("n_lines"),
+        lines.removed_count(F.col("lines_removed")).alias("n_removed"),
+        F.array_join(runs, ",").alias("removed"),
+        F.sha2(whole_text(F.col("text")).cast("binary"), 256).alias("text_sha256"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
@@ -40,9 +52,9 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_pieces, op6_packing, op8_language]
+    named = [op2_pieces, op5_lines, op6_packing, op8_language]
     return {f.__name__: f for f in named}
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return {"op5_lines": oracles.OP5_LINES}
