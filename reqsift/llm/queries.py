@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reqsift.llm import language, lines, oracles, packing, pieces
+from reqsift.llm import language, lines, oracles, packing, pieces, secrets
 from reqsift.llm.common import fold, table, whole_text
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,6 +24,31 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _listed(spans: Column) -> Column:
+    named = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    return F.array_join(named, ",")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = secrets.fit(docs)
+    found = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), secrets.spans(F.col("text"), model).alias("all")
+    )
+
+    def number(kind: str) -> Column:
+        of_kind = F.filter("all", lambda s: s["kind"] == kind)
+        return F.size(of_kind).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("all", lambda s: s["kind"] != "crf")
+    return found.select(
+        "doc_id",
+        *map(number, secrets.KINDS[:3]),
+        F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"),
+        _listed(F.col("all")).alias("spans"),
+    )
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.remove_repeats(table(spark, sf_dir, "documents"))
     runs = F.transform("lines_removed", lambda r: F.concat(r["first"], F.lit("-"), r["last"]))
@@ -52,7 +77,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_pieces, op5_lines, op6_packing, op8_language]
+    named = [op2_pieces, op3_secrets, op5_lines, op6_packing, op8_language]
     return {f.__name__: f for f in named}
 
 
