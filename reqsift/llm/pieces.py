@@ -31,7 +31,7 @@ class PieceEncoder:
     cut there, and at line ends, and equal words are encoded once while remembered.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 120_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as formats
 
@@ -59,7 +59,7 @@ class PieceEncoder:
         for piece, i in normal.items():
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
-        self.compatible: dict[int, bool] = Memo(self._compatible, 500_000)
+        self.compatible: dict[int, bool] = Memo(self._compatible, 200_000)
         self.after_blank = Memo(lambda w: self._packed(BLANK + w), limit)
         self.plain = Memo(self._packed, limit // 4)
 
@@ -127,23 +127,52 @@ class PieceEncoder:
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
-def encode(docs: DataFrame, model: str, ends: bool = True) -> DataFrame:
+#: Characters of text in one batch of results.
+_GROUP = 1 << 21
+
+
+def _decoder(model: str):
+    from sentencepiece import SentencePieceProcessor
+
+    return per_process(("piece decoder", model), lambda: SentencePieceProcessor(model_file=model))
+
+
+def encode(docs: DataFrame, model: str, ends: bool = True, decoded: bool = False) -> DataFrame:
     """``(doc_id, ids)`` for every row of ``docs(doc_id, text, …)``.
 
     ``ids`` holds the whole text's ids as little-endian unsigned 32-bit integers,
-    with begin and end ids if ``ends``.  A null text is an empty one and has these two
-    alone.  Null ids and repeated rows are kept as they come; other columns are
-    ignored; an empty table gives no rows.
+    with begin and end ids if ``ends``.  ``decoded`` adds ``text``, decoded from them in
+    the same pass.  A null text is an empty one and has the two ends alone.  Null doc_ids
+    and repeated rows are kept as they come; other columns are ignored; an empty table
+    gives no rows.
     """
+    schema = "doc_id long, ids binary" + (", text string" if decoded else "")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_process(("pieces", model), lambda: PieceEncoder(model))
+        back = _decoder(model) if decoded else None
         for batch in batches:
-            ids = pa.array([encoder.encode(t.as_py(), ends) for t in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+            rows, held = [], 0
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                text = text.as_py()
+                ids = encoder.encode(text, ends)
+                again = (back.decode(np.frombuffer(ids, "<u4").tolist()),) if decoded else ()
+                rows.append((doc_id.as_py(), ids, *again))
+                held += len(text)
+                if held > _GROUP:
+                    yield _batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows)
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"))
-    return chosen.mapInArrow(work, "doc_id long, ids binary")
+    return chosen.mapInArrow(work, schema)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"doc_id": pa.int64(), "ids": pa.binary(), "text": pa.string()}
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())]
+    return pa.RecordBatch.from_arrays(columns, names=list(kinds)[: len(columns)])
 
 
 def decode(ids: Column, model: str) -> Column:
@@ -151,15 +180,10 @@ def decode(ids: Column, model: str) -> Column:
 
     @F.arrow_udf("string")
     def text(packed: pa.Array) -> pa.Array:
-        from sentencepiece import SentencePieceProcessor
-
-        library = per_process(
-            ("piece decoder", model), lambda: SentencePieceProcessor(model_file=model)
-        )
-        out = []
+        back, out = _decoder(model), []
         for raw in packed:
             raw = raw.as_py()
-            out.append(None if raw is None else library.decode(np.frombuffer(raw, "<u4").tolist()))
+            out.append(None if raw is None else back.decode(np.frombuffer(raw, "<u4").tolist()))
         return pa.array(out, pa.string())
 
     return text(ids)

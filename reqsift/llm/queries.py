@@ -15,12 +15,12 @@ WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL)
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL, decoded=True)
     return encoded.select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(pieces.decode(F.col("ids"), PIECE_MODEL).cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
