@@ -29,3 +29,29 @@ SELECT s.doc_id, CAST(len(all_lines) AS BIGINT) AS n_lines, CAST(coalesce(n, 0)
   coalesce(removed, '') AS removed, sha256(coalesce(k.text, '')) AS text_sha256
 FROM split s LEFT JOIN listed r ON s.doc_id = r.doc_id LEFT JOIN kept k ON s.doc_id = k.doc_id
 """
+
+OP4_NEAR = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[])
+    WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS s
+  FROM w
+), size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+  FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS (
+  SELECT x, y FROM common JOIN size sx ON sx.doc_id = x JOIN size sy ON sy.doc_id = y
+  WHERE 100 * common.n >= 85 * (sx.n + sy.n - common.n)
+), near AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT reach.doc_id, near.y FROM reach JOIN near ON near.x = reach.other
+), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least ON least.doc_id = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reqsift.llm import language, lines, oracles, packing, pieces, secrets
+from reqsift.llm import language, lines, near, oracles, packing, pieces, secrets
 from reqsift.llm.common import fold, table, whole_text
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -49,6 +49,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.components(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.remove_repeats(table(spark, sf_dir, "documents"))
     runs = F.transform("lines_removed", lambda r: F.concat(r["first"], F.lit("-"), r["last"]))
@@ -77,9 +81,9 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_pieces, op3_secrets, op5_lines, op6_packing, op8_language]
+    named = [op2_pieces, op3_secrets, op4_near, op5_lines, op6_packing, op8_language]
     return {f.__name__: f for f in named}
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op5_lines": oracles.OP5_LINES}
+    return {"op4_near": oracles.OP4_NEAR, "op5_lines": oracles.OP5_LINES}
