@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reqsift.llm import language, lines, near, oracles, packing, pieces, secrets
+from reqsift.llm import graph, language, lines, near, oracles, packing, pieces, secrets
 from reqsift.llm.common import fold, table, whole_text
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -80,8 +80,15 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guess.select("doc_id", "held_out", "guess.lang_pred", "guess.score")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return graph.nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_pieces, op3_secrets, op4_near, op5_lines, op6_packing, op8_language]
+    named = [
+        op2_pieces, op3_secrets, op4_near, op5_lines, op6_packing, op8_language, op9_neighbours
+    ]
     return {f.__name__: f for f in named}
 
 
