@@ -55,3 +55,66 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN least ON least.doc_id = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_id
 """
+
+OP10_QUALITY = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT doc_id, stratum, text,
+    list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM t
+), win AS (
+  SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS body
+  FROM w, unnest(range(1, len(ws) - 1)) AS u(i)
+), again AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, body) AS times FROM win
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + d) AS n FROM again, (VALUES (0), (1), (2)) AS v(d)
+  WHERE times > 1 GROUP BY doc_id
+), c AS (
+  SELECT w.doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) AS BIGINT) AS n_lines,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+), score AS (
+  SELECT doc_id, stratum, base_failed, 0 AS rule, 1000 * n_symbols // n_words AS score FROM f WHERE n_words > 0
+  UNION ALL SELECT doc_id, stratum, base_failed, 1, 1000 * n_dup_lines // n_lines FROM f WHERE n_words > 0
+  UNION ALL SELECT doc_id, stratum, base_failed, 2, 1000 * n_repeat_words // n_words FROM f WHERE n_words > 0
+  UNION ALL SELECT doc_id, stratum, base_failed, 3, 100 * word_chars // n_words FROM f WHERE n_words > 0
+  UNION ALL SELECT doc_id, stratum, base_failed, 4, greatest(0, 1000 - 100 * word_chars // n_words)
+    FROM f WHERE n_words > 0
+), grid AS (
+  SELECT rule, unnest(cutoffs) AS cutoff FROM (VALUES
+    (0, [10, 20, 50, 100, 150, 200, 300, 400, 500, 700]),
+    (1, [50, 100, 150, 200, 250, 300, 400, 500, 600, 800]),
+    (2, [20, 50, 100, 150, 200, 250, 300, 400]),
+    (3, [700, 800, 900, 1000, 1200, 1500, 2000]),
+    (4, [600, 650, 700, 750, 800])) AS g(rule, cutoffs)
+), good AS (
+  SELECT s.* FROM score s JOIN (
+    SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1
+  ) l ON l.doc_id = s.doc_id WHERE NOT base_failed
+), tried AS (
+  SELECT stratum, g.rule, cutoff, count(*) AS n, count(*) FILTER (WHERE score > cutoff) AS k,
+    (SELECT count(DISTINCT stratum) FROM good) * (SELECT count(*) FROM grid) AS tests
+  FROM good JOIN grid g ON g.rule = good.rule GROUP BY stratum, g.rule, cutoff
+), tail AS (
+  SELECT stratum, rule, cutoff, n, k, tests, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+    + i * ln(0.02) + (n - i) * ln(0.98))) AS p
+  FROM tried, unnest(range(0, k + 1)) AS u(i) WHERE k < n * 0.02
+  GROUP BY stratum, rule, cutoff, n, k, tests
+), chosen AS (
+  SELECT stratum, rule, min(cutoff) AS cutoff FROM tail WHERE p * tests <= 0.05 GROUP BY stratum, rule
+), rejected AS (
+  SELECT DISTINCT s.doc_id FROM score s JOIN chosen h ON h.stratum = s.stratum AND h.rule = s.rule
+  WHERE score > cutoff
+)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND r.doc_id IS NULL AS kept
+FROM f LEFT JOIN rejected r ON r.doc_id = f.doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reqsift.llm import graph, language, lines, near, oracles, packing, pieces, secrets
+from reqsift.llm import graph, language, lines, near, oracles, packing, pieces, quality, secrets
 from reqsift.llm.common import fold, table, whole_text
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -85,12 +85,24 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        op2_pieces, op3_secrets, op4_near, op5_lines, op6_packing, op8_language, op9_neighbours
+        op2_pieces, op3_secrets, op4_near, op5_lines, op6_packing, op8_language, op9_neighbours,
+        op10_quality,
     ]
     return {f.__name__: f for f in named}
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op4_near": oracles.OP4_NEAR, "op5_lines": oracles.OP5_LINES}
+    return {
+        "op4_near": oracles.OP4_NEAR,
+        "op5_lines": oracles.OP5_LINES,
+        "op10_quality": oracles.OP10_QUALITY,
+    }
