@@ -118,3 +118,71 @@ SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
   NOT base_failed AND r.doc_id IS NULL AS kept
 FROM f LEFT JOIN rejected r ON r.doc_id = f.doc_id
 """
+
+OP1_LICENCES = r"""
+WITH template(licence, body) AS (VALUES
+  ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
+  ('BSD-3-Clause',
+   'Redistribution and use in source and binary forms, with or without modification, are permitted.'),
+  ('CC-BY-4.0', 'Licensed under the Creative Commons Attribution 4.0 International License.'),
+  ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
+  ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
+  ('MIT', 'Released under the MIT License.'),
+  ('MPL-2.0', 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.'),
+  ('Proprietary', 'All rights reserved.')
+), tt AS (
+  SELECT licence, term, count(*) AS tf
+  FROM (SELECT licence, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM template) GROUP BY ALL
+), d AS (
+  SELECT doc_id, concat_ws('/', source, lang, doc_id // 1000, doc_id) AS path,
+    concat_ws('/', source, lang, doc_id // 1000) AS folder, coalesce(text, '') AS text
+  FROM documents
+), line AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)
+), lt AS (
+  SELECT doc_id, pos, term, count(*) AS tf
+  FROM (SELECT doc_id, pos, unnest(regexp_extract_all(
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS term FROM line)
+  GROUP BY ALL
+), total AS (SELECT count(*) AS n FROM d
+), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM lt GROUP BY term
+), idf AS (
+  SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf
+  FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), total
+), tv AS (
+  SELECT licence, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY licence)) AS w
+  FROM tt JOIN idf USING (term)
+), lv AS (
+  SELECT doc_id, pos, lt.term, tf, tf * coalesce(idf, ln(n + 1) + 1) AS w
+  FROM lt LEFT JOIN idf ON idf.term = lt.term, total
+), size AS (SELECT doc_id, pos, sqrt(sum(w * w)) AS norm, sum(tf) AS words FROM lv GROUP BY doc_id, pos
+), hit AS (
+  SELECT lv.doc_id, lv.pos, licence, round(sum(lv.w * tv.w) / any_value(norm), 6) AS score, any_value(words) AS words
+  FROM lv JOIN tv ON tv.term = lv.term JOIN size s ON s.doc_id = lv.doc_id AND s.pos = lv.pos
+  GROUP BY lv.doc_id, lv.pos, licence
+), best AS (
+  SELECT doc_id, pos, licence, score, words FROM hit WHERE score >= 0.75
+  QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, licence DESC) = 1
+), own AS (
+  SELECT doc_id, arg_max(licence, {'s': score, 'l': licence}) AS licence, max(score) AS score, sum(words) AS words
+  FROM best GROUP BY doc_id
+), share AS (
+  SELECT own.doc_id, own.licence, own.score, path, folder,
+    own.words / (SELECT sum(words) FROM size WHERE size.doc_id = own.doc_id) AS share
+  FROM own JOIN d ON d.doc_id = own.doc_id
+), governing AS (
+  SELECT folder AS up, licence, score FROM share WHERE share >= 0.2
+  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, share DESC, path) = 1
+), above AS (
+  SELECT folder, array_to_string(list_slice(string_split(folder, '/'), 1, k), '/') AS up
+  FROM (SELECT DISTINCT folder FROM d), unnest([0, 1, 2, 3]) AS u(k)
+), inherited AS (
+  SELECT a.folder, a.up, licence, score FROM above a JOIN governing g ON g.up = a.up
+  QUALIFY row_number() OVER (PARTITION BY a.folder ORDER BY length(a.up) DESC) = 1
+)
+SELECT d.doc_id, d.path, coalesce(own.licence, i.licence) AS licence,
+  CASE WHEN own.doc_id IS NOT NULL THEN 'own' WHEN i.up IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  coalesce(own.score, i.score) AS score, CASE WHEN own.doc_id IS NULL THEN i.up END AS governed_by
+FROM d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN inherited i ON i.folder = d.folder
+"""

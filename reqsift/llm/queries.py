@@ -7,13 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reqsift.llm import graph, language, lines, near, oracles, packing, pieces, quality, secrets
+from reqsift.llm import graph, language, licences, lines, near, oracles, packing, pieces, quality, secrets
 from reqsift.llm.common import fold, table, whole_text
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie in folders by source, language and thousands of their ids."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.expr("doc_id div 1000"), "doc_id")
+    return licences.scan(docs.select("doc_id", path.alias("path"), "text"), file=0.2)
+
+
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL, decoded=True)
     return encoded.select(
@@ -94,6 +101,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
+        op1_licences,
         op2_pieces, op3_secrets, op4_near, op5_lines, op6_packing, op8_language, op9_neighbours,
         op10_quality,
     ]
@@ -102,6 +110,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def all_oracles() -> dict[str, str]:
     return {
+        "op1_licences": oracles.OP1_LICENCES,
         "op4_near": oracles.OP4_NEAR,
         "op5_lines": oracles.OP5_LINES,
         "op10_quality": oracles.OP10_QUALITY,
