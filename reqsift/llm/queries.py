@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reqsift.llm import graph, language, licences, lines, near, oracles, packing, pieces, quality, secrets
+from reqsift.llm import graph, language, licences, lines, mixing, near, oracles, packing, pieces, quality, secrets
 from reqsift.llm.common import fold, table, whole_text
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -76,6 +76,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.filter(fold(F.col("doc_id"), 5) != 0))
@@ -102,7 +106,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_licences,
-        op2_pieces, op3_secrets, op4_near, op5_lines, op6_packing, op8_language, op9_neighbours,
+        op2_pieces, op3_secrets, op4_near, op5_lines, op6_packing, op7_mixing, op8_language, op9_neighbours,
         op10_quality,
     ]
     return {f.__name__: f for f in named}
