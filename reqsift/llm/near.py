@@ -5,16 +5,19 @@ leaves of several random trees: a node picks one of the positions of a minwise
 signature (now and then two), and its classes go on to the child of their token there.
 Classes that share a leaf are compared; everything found is confirmed on the full sets.
 
-A leaf first compares its classes with one hub only, and what that links is settled,
-so a large group of near copies costs one comparison per member instead of all pairs.
-Leaves with members of several components are then compared exhaustively if small, and
-branched further if large; what is still large at the last level is compared in blocks.
+A leaf first compares its classes with one hub only, the member that agrees most with
+the leaf's majority, and what that links is settled: a large group of near copies costs
+one comparison per member instead of all pairs.  Leaves with members of several
+components are then compared exhaustively if small.  In a large one, the few members
+outside its largest component are compared with all, in blocks; if they are many, the
+leaf is branched further, and at the last level compared in blocks of all its members.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from reqsift.operators.components import connected_components
 from reqsift.workspace import materialize
 
 SIGNATURE = 64
-TREES, DEPTH, LAST_DEPTH = 8, 3, 24
+TREES, DEPTH, LAST_DEPTH = 8, 3, 12
 #: Classes of one leaf that are compared exhaustively in one go.
 LEAF = 256
 #: Estimated similarity, below the threshold by this much, from which pairs of a leaf are
@@ -78,23 +81,29 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, n, cls, sig)`` per row; ``cls`` is a 128-bit hash of the shingle set."""
+    """``(doc_id, n, cls, sig, bits)`` per row; ``cls`` is a 128-bit hash of the shingle set, and
+    ``bits`` has the lowest bit of each minwise token."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = per_process(("shingles", size), lambda: Shingler(size))
         for batch in batches:
-            n, cls, sig = [], [], []
+            n, cls, sig, bits = [], [], [], []
             for text in batch.column(1):
                 shingles = shingler.shingles(text.as_py())
                 some = len(shingles) > 0
                 n.append(len(shingles))
                 cls.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if some else None)
-                sig.append(signature(shingles).tobytes() if some else None)
-            columns = [pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "cls", "sig"])
+                tokens = signature(shingles) if some else None
+                sig.append(tokens.tobytes() if some else None)
+                low = np.packbits(tokens & 1).view("<i8")[0] if some else None
+                bits.append(int(low) if some else None)
+            columns = [
+                pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary()), pa.array(bits, pa.int64())
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "cls", "sig", "bits"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"))
-    return chosen.mapInArrow(work, "doc_id long, n long, cls binary, sig binary")
+    return chosen.mapInArrow(work, "doc_id long, n long, cls binary, sig binary, bits long")
 
 
 def _children(node: np.ndarray, row: np.ndarray, sig: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +121,7 @@ def _children(node: np.ndarray, row: np.ndarray, sig: np.ndarray, rate: float) -
 
 
 def _branched(classes: DataFrame, levels: int, threshold: float, trees: int = 0) -> DataFrame:
-    """``(node, cls, n)`` ``levels`` further down: from the roots of ``trees``, or from column ``node``."""
+    """``(node, cid, n, bits)`` ``levels`` further down: from the roots of ``trees``, or from column ``node``."""
     rate = 1 / threshold - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,14 +134,39 @@ def _branched(classes: DataFrame, levels: int, threshold: float, trees: int = 0)
                 node = np.repeat(_mix(np.arange(1, trees + 1, dtype=np.uint64)), len(row))
                 row = np.tile(row, trees)
             else:
-                node = batch.column(3).to_numpy().view(np.uint64)
+                node = batch.column(4).to_numpy().view(np.uint64)
             for _ in range(levels):
                 node, row = _children(node, row, sig, rate)
-            cls, n = batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), cls, n], names=["node", "cls", "n"])
+            own = [batch.column(k).take(pa.array(row)) for k in (0, 1, 3)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node.view(np.int64)), *own], names=["node", "cid", "n", "bits"]
+            )
+
+    columns = ["cid", "n", "sig", "bits"] + ([] if trees else ["node"])
+    return classes.select(*columns).mapInArrow(work, "node long, cid long, n long, bits long")
 
-    columns = ["cls", "n", "sig"] + ([] if trees else ["node"])
-    return classes.select(*columns).mapInArrow(work, "node long, cls binary, n long")
+
+def _with_hubs(nodes: DataFrame) -> DataFrame:
+    """Members of nodes that hold several, with the node's ``size`` and ``hub``.
+
+    The majority of each signature bit in a node shows what its members have in common;
+    the member closest to it is the likeliest to be near the others.
+    """
+    ones = [F.sum(F.shiftrightunsigned("bits", k).bitwiseAND(F.lit(1))).alias(f"one{k}") for k in range(SIGNATURE)]
+    stats = nodes.groupBy("node").agg(F.count("*").alias("size"), *ones).filter("size > 1")
+    majority = reduce(
+        lambda x, y: x.bitwiseOR(y),
+        [
+            F.when(F.col(f"one{k}") * 2 > F.col("size"), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
+            for k in range(SIGNATURE)
+        ],
+    )
+    placed = nodes.join(stats.select("node", "size", majority.alias("majority")), "node").withColumn(
+        "apart", F.bit_count(F.col("bits").bitwiseXOR(F.col("majority")))
+    )
+    placed = materialize(placed.select("node", "cid", "n", "size", "apart"))
+    best = F.min(F.struct("apart", F.xxhash64("cid").alias("turn"), "cid", "n"))
+    return placed.drop("apart").join(placed.groupBy("node").agg(best.alias("hub")), "node")
 
 
 def _sizes_allow(a: str, b: str, percent: int) -> Column:
@@ -151,44 +185,43 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(100 * common >= percent * (len(x) + len(y) - common))
         return pa.array(out, pa.bool_())
 
-    of = {k: sets.select(F.col("cls").alias(k), F.col("shingles").alias("set_" + k)) for k in "ab"}
+    of = {k: sets.select(F.col("cid").alias(k), F.col("shingles").alias("set_" + k)) for k in "ab"}
     joined = pairs.join(of["b"], "b").join(of["a"], "a")
     return materialize(joined.filter(similar("set_a", "set_b")).select("a", "b"))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``(cls, shingles)`` of the wanted classes ``(cls, first_id)``, from one row of each."""
+    """``(cid, shingles)`` of the wanted classes ``(cid, cls, want_id)``, from one row of each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = per_process(("shingles", size), lambda: Shingler(size))
         for batch in batches:
-            cls, sets = [], []
-            for text, want in zip(batch.column(0), batch.column(1)):
+            cids, sets = [], []
+            for text, cls, cid in zip(*batch.columns):
                 raw = shingler.shingles(text.as_py()).tobytes()
-                key = hashlib.blake2b(raw, digest_size=16).digest()
-                if key == want.as_py():
-                    cls.append(key)
+                if hashlib.blake2b(raw, digest_size=16).digest() == cls.as_py():
+                    cids.append(cid.as_py())
                     sets.append(raw)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "shingles"]
+                [pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "shingles"]
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("first_id"), whole_text(F.col("text")).alias("text"))
-    rows = rows.join(wanted, F.col("first_id").eqNullSafe(F.col("want_id"))).select("text", "cls")
-    sets = rows.mapInArrow(work, "cls binary, shingles binary")
-    return materialize(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")))
+    rows = rows.join(wanted, F.col("first_id").eqNullSafe(F.col("want_id"))).select("text", "cls", "cid")
+    sets = rows.mapInArrow(work, "cid long, shingles binary")
+    return materialize(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")))
 
 
 def _labels(links: DataFrame) -> DataFrame:
-    """``(cls, label)`` of linked classes."""
+    """``(cid, label)`` of linked classes."""
     found = connected_components(links.select(F.lit(0).alias("project"), F.col("a").alias("src"), F.col("b").alias("dst")))
-    return materialize(found.select(F.col("node").alias("cls"), F.col("component").alias("label")))
+    return materialize(found.select(F.col("node").alias("cid"), F.col("component").alias("label")))
 
 
 def _exhaustive(threshold: float):
     """Within each node of sorted rows: likely similar pairs of different labels."""
 
-    def pairs_of(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+    def pairs_of(rows: list[tuple]) -> list[tuple[int, int]]:
         if len(rows) < 2:
             return []
         sig = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(-1, SIGNATURE)
@@ -202,7 +235,7 @@ def _exhaustive(threshold: float):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        found: list[tuple[bytes, bytes]] = []
+        found: list[tuple[int, int]] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held[0][0] != row[0]:
@@ -218,19 +251,26 @@ def _exhaustive(threshold: float):
     return work
 
 
-def _pair_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*pairs)], names=["a", "b"])
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
+
 
+def _few_against_all(rows: DataFrame) -> DataFrame:
+    """Large nodes cut into blocks of the largest component's members, each with all others."""
+    count = F.ceil(F.col("size") / F.lit(LEAF)).cast("int")
+    own = F.array(F.pmod(F.xxhash64("cid"), count).cast("int"))
+    block = F.explode(F.when(F.col("label") == F.col("main"), own).otherwise(F.sequence(F.lit(0), count - 1)))
+    return rows.withColumn("block", block).withColumn("node", F.xxhash64("node", "block")).drop("block")
 
-def _blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+
+def _all_blocks(rows: DataFrame) -> DataFrame:
     """Large nodes cut into blocks; one node per pair of blocks holds the members of both."""
     count = F.ceil(F.col("size") / F.lit(LEAF // 2)).cast("int")
-    block = F.pmod(F.xxhash64("cls"), count).cast("int")
-    cut = rows.join(sizes, "node").withColumn("count", count).withColumn("block", block)
-    other = F.explode(F.sequence(F.lit(0), F.col("count") - 1))
-    return cut.withColumn("other", other).select(
-        F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "cls", "n"
+    cut = rows.withColumn("block", F.pmod(F.xxhash64("cid"), count).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), count - 1))
     )
+    pair = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
+    return cut.withColumn("node", pair).drop("block", "other")
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -250,57 +290,43 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rows = materialize(_described(docs, words))
     classes = materialize(
         rows.filter("n > 0").groupBy("cls").agg(
-            F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sig").alias("sig")
-        )
+            F.min("doc_id").alias("first_id"),
+            *[F.first(c).alias(c) for c in ("n", "sig", "bits")],
+        ).withColumn("cid", F.monotonically_increasing_id())
     )
-    members = materialize(_branched(classes, DEPTH, threshold, TREES).distinct())
-    hub = F.min(F.struct(F.xxhash64("cls").alias("turn"), "cls", "n")).alias("hub")
-    shared = members.groupBy("node").agg(F.count("*").alias("size"), hub).filter("size > 1")
-    members = materialize(members.join(shared, "node"))
-    wanted = members.select("cls").distinct().join(classes, "cls")
-    sets = _full_sets(docs, wanted.select("cls", F.col("first_id").alias("want_id")), words)
+    members = materialize(_with_hubs(_branched(classes, DEPTH, threshold, TREES).distinct()))
+    wanted = members.select("cid").distinct().join(classes, "cid")
+    sets = _full_sets(docs, wanted.select("cid", "cls", F.col("first_id").alias("want_id")), words)
 
     links = _confirmed(_to_hubs(members, percent), sets, percent)
     for depth in range(DEPTH, LAST_DEPTH + 1):
-        # Members with their component so far, in nodes that hold more than one.
         labels = _labels(links)
-        labelled = members.filter("size > 2").join(labels, "cls", "left").withColumn(
-            "label", F.coalesce("label", "cls")
-        )
-        span = labelled.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        mixed = materialize(
-            labelled.join(span.filter("low != high").select("node"), "node", "left_semi")
-            .join(classes.select("cls", "sig"), "cls")
-            .select("node", "cls", "label", "sig", "n", "size")
-        )
-        small = mixed.filter(F.col("size") <= LEAF)
+        mixed = _mixed(members.filter("size > 2"), labels, classes)
         large = mixed.filter(F.col("size") > LEAF)
-        last = large.isEmpty()
-        if depth == LAST_DEPTH and not last:
-            sizes = large.groupBy("node").agg(F.count("*").alias("size"))
-            cut = _blocks(large.select("node", "cls", "n"), sizes)
-            signed = large.select("cls", "label", "sig").dropDuplicates(["cls"])
-            cut = cut.join(signed, "cls").withColumn("size", F.lit(2))
-            small, last = small.unionByName(cut.select(*small.columns)), True
+        many = large.filter(F.col("others") > LEAF)
+        last = depth == LAST_DEPTH or many.isEmpty()
+        leaves = [mixed.filter(F.col("size") <= LEAF), _few_against_all(large.filter(F.col("others") <= LEAF))]
+        if last:
+            leaves.append(_all_blocks(many))
+        leaf = reduce(DataFrame.unionByName, [x.select("node", "cid", "label", "sig") for x in leaves])
         pairs = (
-            small.select("node", "cls", "label", "sig").repartition("node").sortWithinPartitions("node", "cls")
-            .mapInArrow(_exhaustive(threshold), "a binary, b binary").distinct()
+            leaf.repartition("node").sortWithinPartitions("node", "cid")
+            .mapInArrow(_exhaustive(threshold), "a long, b long").distinct()
         )
-        found = _confirmed(pairs, sets, percent)
+        links = links.unionByName(_confirmed(pairs, sets, percent))
         if last:
-            links = links.unionByName(found)
             break
-        below = _branched(large, 1, threshold).distinct()
-        shared = below.groupBy("node").agg(F.count("*").alias("size"), hub).filter("size > 1")
-        members = materialize(below.join(shared, "node"))
+        members = materialize(_with_hubs(_branched(many, 1, threshold).distinct()))
         # A hub need not be compared again with what it is already linked to.
         fresh = _to_hubs(members, percent).join(labels.toDF("a", "la"), "a", "left").join(
             labels.toDF("b", "lb"), "b", "left"
         ).filter("la is null or lb is null or la != lb").select("a", "b")
-        links = materialize(links.unionByName(found).unionByName(_confirmed(fresh, sets, percent)).distinct())
+        links = materialize(links.unionByName(_confirmed(fresh, sets, percent)).distinct())
 
     labels = _labels(links)
-    named = classes.select("cls", "first_id").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    named = classes.select("cid", "cls", "first_id").join(labels, "cid", "left").withColumn(
+        "label", F.coalesce("label", "cid")
+    )
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     by_class = named.join(least, "label").select("cls", "component_id")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -310,11 +336,26 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     )
 
 
+def _mixed(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of nodes that hold several components, with their ``label``, the node's largest
+    one as ``main`` and how many are in ``others``."""
+    labelled = members.drop("hub").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    sizes = labelled.groupBy("node", "label").agg(F.count("*").alias("times"))
+    spread = sizes.groupBy("node").agg(
+        F.max(F.struct("times", "label")).alias("top"), F.sum("times").alias("all")
+    ).filter(F.col("top.times") < F.col("all"))
+    tops = spread.select("node", F.col("top.label").alias("main"), (F.col("all") - F.col("top.times")).alias("others"))
+    return materialize(
+        labelled.join(tops, "node").join(classes.select("cid", "sig", "bits"), "cid")
+        .select("node", "cid", "label", "main", "others", "sig", "bits", "n", "size")
+    )
+
+
 def _to_hubs(members: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (hub, member) of all nodes whose sizes allow the similarity."""
     return (
-        members.filter(F.col("cls") != F.col("hub.cls"))
+        members.filter(F.col("cid") != F.col("hub.cid"))
         .filter(_sizes_allow("n", "hub.n", percent))
-        .select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))
+        .select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b"))
         .distinct()
     )
