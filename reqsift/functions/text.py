@@ -64,12 +64,9 @@ def normal_confidence(confidence: Column) -> Column:
     return F.lower(strip(confidence))
 
 
-def judge_prompt(title_a: Column, desc_a: Column, title_b: Column, desc_b: Column) -> Column:
-    """Question put to a pair judge about two records."""
-    return F.concat(
-        F.lit("Is one of these two records the same user-facing feature as the other, or a part of it?\n\nA: "),
-        dashed_text(title_a, desc_a),
-        F.lit("\nB: "),
-        dashed_text(title_b, desc_b),
-        F.lit("\n\nAnswer yes or no:"),
-    )
+def filled_template(template: str, values: dict[str, Column]) -> Column:
+    """A template with ``{name}`` places, filled with the columns of these names."""
+    text = F.lit(template)
+    for name, value in values.items():
+        text = F.replace(text, F.lit("{" + name + "}"), blank_if_null(value))
+    return text

@@ -18,7 +18,7 @@ from reqsift.functions.parsing import candidates, lenient_list
 from reqsift.functions.rules import NOISE_PHRASES, is_noise, status, tier
 from reqsift.functions.text import words
 from reqsift.operators.dedup import remove_duplicates, word_classes, word_records
-from reqsift.operators.enrich import enriched_records, source_context
+from reqsift.operators.enrich import TIMESTAMP, enriched_records, source_context
 from reqsift.operators.judging import match_with_judge
 from reqsift.operators.match import (
     best_match,
@@ -41,13 +41,25 @@ from reqsift.operators.ordering import assign_ids
 from reqsift.operators.scoring import join_responses, select_demos
 from reqsift.operators.simjoin import similar_pairs
 from reqsift.operators.training import classify, train_classifier
-from reqsift.plans.flows import extract, finalise
-from reqsift.sources.readers import read_report, read_requirements, resolve_pages, truth_records
+from reqsift.plans.flows import evaluate, extract, extract_and_deliver, finalise, open_candidates
+from reqsift.sources.readers import (
+    labelled_examples,
+    read_enriched,
+    read_report,
+    read_report_rows,
+    read_requirements,
+    resolve_pages,
+    truth_records,
+)
 from reqsift.sources.sinks import (
     deliver,
     enriched_documents,
+    project_outcomes,
     report_documents,
     requirement_documents,
+    save_enriched,
+    save_report,
+    save_requirements,
     write_documents,
 )
 from reqsift.workspace import folder, materialize, spread
@@ -61,6 +73,8 @@ PHRASES = [*NOISE_PHRASES, "license", "all rights reserved"]
 VERDICT_MODULUS = 251
 # A part size small enough that saved projects have several parts.
 PART_ROWS = 20
+# A fixed time instead of that of the run.
+MOMENT = "2024-05-06 07:08:09.123456"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,14 +147,14 @@ def recorded_verdicts(ext: DataFrame, gt: DataFrame) -> DataFrame:
     )
 
 
-def rule_judge(row: dict) -> bool:
-    """The same rule as ``recorded_verdicts``, as a callable."""
+def rule_judge(row: dict) -> str:
+    """The same rule as ``recorded_verdicts``, as a callable that answers in words."""
     import hashlib
 
     def residue(text: str) -> int:
         return int(hashlib.md5(text.encode()).hexdigest()[:7], 16) % VERDICT_MODULUS
 
-    return residue(row["ext_title"]) == residue(row["gt_name"])
+    return " Yes, same" if residue(row["ext_title"]) == residue(row["gt_name"]) else "no"
 
 
 def _matched(spark: SparkSession, sf_dir: str, judged: bool = False):
@@ -383,9 +397,10 @@ def report_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _table(spark, sf_dir, "labels").select(
-        "doc_id", F.when(F.col("quality") == 1, "yes").otherwise("no").alias("label")
+    examples = _table(spark, sf_dir, "labels").select(
+        "doc_id", (F.col("quality") == 1).alias("is_requirement")
     )
+    labels = labelled_examples(examples).select("doc_id", "label")
     return _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars").join(labels, "doc_id")
 
 
@@ -432,7 +447,7 @@ def enrichment_responses(found: DataFrame) -> DataFrame:
 def _enriched(spark: SparkSession, sf_dir: str, project: Column | None = None) -> DataFrame:
     found = records(spark, sf_dir, project)
     scored = join_responses(found, enrichment_responses(records(spark, sf_dir)), ["cand_order"])
-    return enriched_records(scored, "recorded", F.lit("documents"))
+    return enriched_records(scored, "recorded", F.lit("documents"), F.lit(MOMENT).cast("timestamp"))
 
 
 def enrich_success_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -450,6 +465,27 @@ def enrich_success_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
         "confidence",
         "extraction_model",
         "validation_confirmed",
+        "description",
+        "is_requirement",
+        F.date_format("extraction_timestamp", TIMESTAMP).alias("extraction_timestamp"),
+        F.col("metadata.source_file").alias("source_file"),
+        F.date_format("metadata.extraction_timestamp", TIMESTAMP).alias("metadata_timestamp"),
+        F.col("metadata.validation_confirmed").alias("metadata_confirmed"),
+    )
+
+
+def saved_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enriched records saved per project and read back."""
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    save_enriched(_enriched(spark, sf_dir, F.col("source")), path)
+    return read_enriched(spark, path).select(
+        "project",
+        F.col("ext_order").alias("position"),
+        "short_title",
+        F.array_join("acceptance_criteria", "|").alias("acceptance_criteria"),
+        F.date_format("metadata.extraction_timestamp", TIMESTAMP).alias("extraction_timestamp"),
+        F.col("metadata.source_file").alias("source_file"),
+        "validation_confirmed",
     )
 
 
@@ -507,6 +543,64 @@ def delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deliver(documents, targets, answer_like_a_receiver)
 
 
+def delivery_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One outcome per project, however many parts it was sent in."""
+    return project_outcomes(delivery(spark, sf_dir))
+
+
+def save_two_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects saved one group after another, one of them twice, and all read back."""
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    numbered = materialize(assign_ids(records(spark, sf_dir, F.col("source"))))
+    odd = F.substring("project", 4, 9).cast("long") % 2 == 1
+    short = numbered.filter(odd).withColumn("title", F.lit("an earlier state"))
+    for rows in (short, numbered.filter(~odd), numbered.filter(odd)):
+        save_requirements(rows, path)
+    return read_requirements(spark, path).select(
+        "project", F.col("ext_order").alias("position"), "requirement_id", "title", "type"
+    )
+
+
+def candidate_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses with repeated keys, NaN, nulls and a missing type, opened with defaults."""
+    kind = F.col("event_id") % 4
+    raw = (
+        F.when(kind == 0, F.format_string('[{"title": "old", "title": "%s", "x": NaN}]', "event_type"))
+        .when(kind == 1, F.format_string('[{"title": null, "description": "user %d"}]', "user_id"))
+        .when(kind == 2, F.lit('[{"title": "t", "description": null, "type": null}, {}]'))
+        .otherwise(F.concat(F.lit('[{"title": "p", "type": "UI", "description": '), F.to_json(F.array("props")), F.lit("}]")))
+    )
+    responses = _table(spark, sf_dir, "events").select(
+        F.lit("all").alias("project"), F.col("event_id").alias("doc_id"), F.lit(1).alias("page_no"),
+        F.lit(0).alias("chunk_no"), raw.alias("raw"),
+    )
+    opened = open_candidates(responses).filter((F.col("doc_id") % 4 != 3) | (F.col("description") != ""))
+    return opened.select(
+        F.col("doc_id").alias("event_id"),
+        F.col("pos").cast("long").alias("pos"),
+        "title",
+        F.when(F.col("doc_id") % 4 == 3, "kept").otherwise(F.col("description")).alias("description"),
+        "type",
+    )
+
+
+def evaluate_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole evaluation with recorded verdicts; report rows saved and read back per project."""
+    ext, gt = sides(spark, sf_dir)
+    result = evaluate(ext, gt, verdicts=recorded_verdicts(ext, gt))
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    save_report(result.report_rows, path)
+    saved = read_report_rows(spark, path, "fr").unionByName(read_report_rows(spark, path, "en"))
+    return saved.select(
+        "project",
+        "section",
+        "position",
+        "metrics.*",
+        "counts.*",
+        F.coalesce("matched.extracted_id", "missed.gt_id", "over_created.extracted_id").alias("item_id"),
+    )
+
+
 def ground_truth_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark as a sheet: some rows lack an id, a name or a description."""
     item = F.col("item_id")
@@ -579,6 +673,33 @@ def finalise_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def end_lines_extractor(row: dict) -> dict:
+    """Stands in for an extraction model: the first and the last line of a chunk."""
+    lines = row["document_text"].strip("\n").split("\n")
+    items = []
+    for line in lines[:1] + lines[1:][-1:]:
+        found = line.split()
+        items.append({"title": " ".join(found[:5]), "description": " ".join(found[5:])})
+    return {"raw": json.dumps(items)}
+
+
+def extract_deliver_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full run, with two candidates per chunk and one document sent for the project."""
+    pages = document_pages(spark, sf_dir).withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id")))
+    targets = spark.range(1).select(
+        F.lit("all").alias("project"), F.lit(5).cast("long").alias("project_id"), F.lit("http://receiver").alias("backend_url")
+    )
+    done, outcomes = extract_and_deliver(
+        pages, end_lines_extractor, length_classifier, context_enricher, "recorded", targets,
+        answer_like_a_receiver, separator=LINE, phrases=PHRASES,
+    )
+    sent = outcomes.select("project", "success", F.get_json_object("response", "$.stored").cast("long").alias("stored"))
+    return done.enriched.join(sent, "project").select(
+        "doc_id", "cand_order", "requirement_id", "short_title", F.col("metadata.source_file").alias("source_file"),
+        "success", "stored",
+    )
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "chunk_documents": chunk_documents,
@@ -615,4 +736,10 @@ def all_queries() -> dict[str, Query]:
         "saved_requirements": saved_requirements,
         "extract_flow": extract_flow,
         "finalise_flow": finalise_flow,
+        "save_two_projects": save_two_projects,
+        "saved_enriched": saved_enriched,
+        "delivery_by_project": delivery_by_project,
+        "candidate_defaults": candidate_defaults,
+        "evaluate_flow": evaluate_flow,
+        "extract_deliver_flow": extract_deliver_flow,
     }

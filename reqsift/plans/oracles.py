@@ -302,6 +302,19 @@ SELECT conv_id AS doc_id,
 FROM conversations GROUP BY 1"""
 
 
+DELIVERED = """
+WITH placed AS (
+  SELECT source AS project, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS part
+  FROM documents WHERE source <> 'src7'
+),
+sent AS (
+  SELECT project, part, substr(project, 4)::BIGINT AS project_id, count(*) AS n,
+         substr(project, 4)::BIGINT % 5 AS kind
+  FROM placed GROUP BY 1, 2
+)
+"""
+
+
 def all_oracles() -> dict[str, str]:
     greedy, hybrid = "WITH RECURSIVE " + _matching(False), "WITH RECURSIVE " + _matching(True)
     match = """
@@ -433,8 +446,80 @@ SELECT doc_id, title AS short_title,
   0::BIGINT AS ambiguities,
   CASE WHEN NOT ok OR doc_id % 3 <> 0 THEN 'low' ELSE 'high' END AS confidence,
   'recorded' AS extraction_model,
+  ok AS validation_confirmed,
+  description,
+  true AS is_requirement,
+  '2024-05-06T07:08:09.123456' AS extraction_timestamp,
+  'documents' AS source_file,
+  '2024-05-06T07:08:09.123456' AS metadata_timestamp,
+  ok AS metadata_confirmed
+FROM flagged""",
+        "saved_enriched": f"""
+WITH {RECORDS}, flagged AS (
+  SELECT *, doc_id % 11 <> 0 AND doc_id % 10 <> 0 AS ok FROM recs
+)
+SELECT source AS project, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position,
+  title AS short_title, CASE WHEN ok THEN title || '|shown' ELSE '' END AS acceptance_criteria,
+  '2024-05-06T07:08:09.123456' AS extraction_timestamp, 'documents' AS source_file,
   ok AS validation_confirmed
 FROM flagged""",
+        "save_two_projects": f"""
+WITH {RECORDS} SELECT source AS project, n - 1 AS position,
+  upper(source) || '-' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INTEGER, '0') AS requirement_id,
+  title, type
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM recs)""",
+        "candidate_defaults": """
+SELECT event_id, 0::BIGINT AS pos, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN '' WHEN 2 THEN 't' ELSE 'p' END
+    AS title,
+  CASE event_id % 4 WHEN 1 THEN 'user ' || user_id WHEN 3 THEN 'kept' ELSE '' END AS description,
+  CASE event_id % 4 WHEN 3 THEN 'UI' ELSE 'Unknown' END AS type
+FROM events
+UNION ALL SELECT event_id, 1, '', '', 'Unknown' FROM events WHERE event_id % 4 = 2""",
+        "evaluate_flow": hybrid + """,
+items AS (
+  SELECT 'matched' AS section, project, extracted_id AS item_id,
+         row_number() OVER (PARTITION BY project ORDER BY eo) - 1 AS position FROM matched
+  UNION ALL
+  SELECT 'missed', project, gt_id, row_number() OVER (PARTITION BY project ORDER BY ord) - 1 FROM missed
+  UNION ALL
+  SELECT 'over_created', project, extracted_id, row_number() OVER (PARTITION BY project ORDER BY ord) - 1
+  FROM over
+)
+SELECT project, 'summary' AS section, 0::BIGINT AS position, precision, recall, f1_score, gt, extracted,
+  true_positives, false_negatives, false_positives, NULL::VARCHAR AS item_id
+FROM quality WHERE project IN ('en', 'fr')
+UNION ALL
+SELECT project, section, position, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, item_id
+FROM items WHERE project IN ('en', 'fr')""",
+        "extract_deliver_flow": f"""
+WITH RECURSIVE {CHUNKS},
+ends AS (
+  SELECT doc_id AS source_id, chunk_no, ls, n FROM (
+    SELECT doc_id, chunk_no, string_split(regexp_replace(regexp_replace(text, '^\n+', ''), '\n+$', ''), chr(10)) AS ls
+    FROM chunks WHERE NOT too_short
+  ), LATERAL (SELECT len(ls) AS n)
+),
+found AS (
+  SELECT source_id, chunk_no, 0 AS pos, ls[1] AS line FROM ends
+  UNION ALL SELECT source_id, chunk_no, 1, ls[n] FROM ends WHERE n > 1
+),
+numbered AS MATERIALIZED (
+  SELECT source_id, row_number() OVER (ORDER BY source_id, chunk_no, pos) AS doc_id,
+    {_title('line')} AS title, {_rest('line')} AS description
+  FROM found
+),
+recs AS MATERIALIZED (
+  SELECT * FROM numbered
+  WHERE NOT {_noise("title || ' ' || description")} AND length(description) % 3 <> 0
+)""" + SURVIVORS.removeprefix(RECORDS) + """,
+final AS (
+  SELECT source_id, r.doc_id, title, row_number() OVER (ORDER BY r.doc_id) AS n FROM kept JOIN recs r USING (doc_id)
+)
+SELECT source_id AS doc_id, doc_id AS cand_order,
+  'ALL-' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INTEGER, '0') AS requirement_id,
+  title AS short_title, 'doc/' || source_id AS source_file, true AS success,
+  (SELECT count(*) FROM final) AS stored
+FROM final""",
         "source_context": CONTEXT,
         "text_volume": """
 SELECT conv_id AS doc_id, count(*) AS pages, sum(length(text))::BIGINT AS chars
@@ -447,22 +532,21 @@ SELECT 'chunks', CASE WHEN too_short THEN 'skipped' ELSE 'kept' END, count(*) FR
 UNION ALL
 SELECT 'candidates', CASE WHEN {_noise('text')} THEN 'noise' ELSE 'accepted' END, count(*)
 FROM documents GROUP BY 2""",
-        "delivery_outcomes": """
-WITH placed AS (
-  SELECT source AS project, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS part
-  FROM documents WHERE source <> 'src7'
-),
-sent AS (
-  SELECT project, part, substr(project, 4)::BIGINT AS project_id, count(*) AS n,
-         substr(project, 4)::BIGINT % 5 AS kind
-  FROM placed GROUP BY 1, 2
-)
+        "delivery_outcomes": DELIVERED + """
 SELECT project, part, project_id, kind IN (0, 1) AS success,
   CASE kind WHEN 0 THEN 200 WHEN 1 THEN 201 WHEN 2 THEN 404 WHEN 3 THEN 500 END::INTEGER AS status_code,
   CASE kind WHEN 2 THEN substr(repeat(n || ' records refused ', 40), 1, 500)
             WHEN 3 THEN 'not now' WHEN 4 THEN 'connection refused' END AS error,
   CASE kind WHEN 0 THEN '{"stored": ' || n || '}' WHEN 1 THEN '{}' END AS response
 FROM sent""",
+        "delivery_by_project": DELIVERED + """
+SELECT project, any_value(project_id) AS project_id, any_value(kind) IN (0, 1) AS success, count(*) AS parts,
+  count(*) FILTER (WHERE kind IN (0, 1)) AS parts_stored,
+  any_value(CASE kind WHEN 0 THEN 200 WHEN 1 THEN 201 WHEN 2 THEN 404 WHEN 3 THEN 500 END::INTEGER) AS status_code,
+  any_value(CASE kind WHEN 2 THEN substr(repeat(n || ' records refused ', 40), 1, 500)
+                      WHEN 3 THEN 'not now' WHEN 4 THEN 'connection refused' END) FILTER (WHERE part = 0) AS error,
+  any_value(CASE kind WHEN 0 THEN '{"stored": ' || n || '}' WHEN 1 THEN '{}' END) FILTER (WHERE part = 0) AS response
+FROM sent GROUP BY project""",
         "ground_truth_load": f"""
 SELECT item_id + 1 AS gt_order, (item_id % 5)::VARCHAR AS id, {_title('text')} AS name,
        CASE WHEN item_id % 4 <> 0 THEN {_rest('text')} ELSE '' END AS description

@@ -55,8 +55,15 @@ COUNTS = (
 
 
 def document_of(item: str) -> str:
-    """Schema of a saved ``{project, part, parts, requirements: [...]}`` document."""
-    return f"project string, part bigint, parts bigint, requirements array<{item}>"
+    """Schema of saved records: nested documents, or flat rows with a position."""
+    fields = item[len("struct<"):-1]
+    return f"struct<project:string,position:bigint,part:bigint,parts:bigint,requirements:array<{item}>,{fields}>"
+
+
+REPORT_ROW = (
+    f"project string, section string, position bigint, metrics {METRICS}, counts {COUNTS}, "
+    f"matched {MATCHED}, missed {MISSED}, over_created {OVER_CREATED}, project_name string"
+)
 
 
 REPORT = (

@@ -269,3 +269,76 @@ def test_the_whole_way(spark, stored):
     assert readers.read_report(spark, saved, "demo").count() == 1
     with pytest.raises(LookupError):
         readers.read_report(spark, saved, "unknown")
+
+
+def test_saving_one_project_keeps_the_others(spark):
+    path = new_path()
+    rows = spark.createDataFrame([(p, n, f"{p}{n}", "d", "UI") for p in "ab" for n in range(3)], RECORD)
+    numbered = ordering.assign_ids(rows)
+    for some in ("project = 'a'", "project = 'b'", "project = 'a' and cand_order < 2"):
+        sinks.save_requirements(numbered.filter(some), path)
+    back = readers.read_requirements(spark, path).orderBy("project", "ext_order").collect()
+    assert [(r.ext_order, r.title) for r in back] == [(0, "a0"), (1, "a1"), (0, "b0"), (1, "b1"), (2, "b2")]
+
+
+def test_each_document_is_sent_once(spark):
+    log = tempfile.mkdtemp(prefix="spark-test-")
+
+    def send(row):
+        import uuid
+
+        open(f"{log}/{row['project']}-{row['part']}-{uuid.uuid4().hex}", "w").close()
+        return {"status_code": 200 if row["part"] else 500, "body": ""}
+
+    rows = [("a", n, "t", "d", "UI") for n in range(5)]
+    documents = sinks.requirement_documents(
+        ordering.assign_ids(spark.createDataFrame(rows, RECORD)), part_rows=2
+    )
+    targets = spark.createDataFrame(
+        [("a", 1, "http://receiver")], "project string, project_id long, backend_url string"
+    )
+    outcomes = sinks.deliver(documents, targets, send)
+    assert outcomes.count() == 3 and outcomes.filter("success").count() == 2
+    (whole,) = sinks.project_outcomes(outcomes).collect()
+    assert (whole.success, whole.parts, whole.parts_stored, whole.status_code) == (False, 3, 2, 500)
+    import os
+
+    assert sorted(name[:3] for name in os.listdir(log)) == ["a-0", "a-1", "a-2"]
+
+
+def test_payload_times_have_microseconds_and_no_zone(spark):
+    rows = spark.createDataFrame([("p", 1, "t", "d", None)], "project string, cand_order long, title string, description string, error string")
+    for field in enrich.RESPONSE_FIELDS:
+        rows = rows.withColumn(field, F.lit("x"))
+    moment = F.lit("2024-01-02 03:04:05.5").cast("timestamp")
+    done = enrich.enriched_records(rows, "m", F.lit("f.txt"), moment)
+    (payload,) = sinks.delivery_payloads(sinks.enriched_documents(done)).collect()
+    (item,) = json.loads(payload.payload)
+    assert item["extraction_timestamp"] == item["metadata"]["extraction_timestamp"] == "2024-01-02T03:04:05.500000"
+    assert item["metadata"]["source_file"] == "f.txt"
+
+
+def test_lossless_candidates(spark):
+    raws = [
+        '[{"title":"a","title":"b"}]', '[{"title":"a","x":NaN}]', '[{"title":"a"}] tail', '[{"title":"a"}], [{}]',
+        '[{"title":null}]',
+    ]
+    rows = spark.createDataFrame([("p", n, 1, 0, r) for n, r in enumerate(raws)],
+                                 "project string, doc_id int, page_no int, chunk_no int, raw string")
+    got = {r.doc_id: (r.title, r.description, r.type) for r in flows.open_candidates(rows).collect()}
+    assert got == {0: ("b", "", "Unknown"), 1: ("a", "", "Unknown"), 4: ("", "", "Unknown")}
+
+
+def test_a_file_without_pages_gives_a_row(spark):
+    path = tempfile.mkdtemp(prefix="spark-test-")
+    with open(f"{path}/blank.txt", "w") as file:
+        file.write(" ")
+    (row,) = readers.read_documents(spark, path, lambda content: [], "p").collect()
+    assert row.doc_id is not None and row.page_no is None and row.error == "no pages"
+
+
+def test_context_without_a_separator(spark):
+    pages = spark.createDataFrame([("p", 1, n, t) for n, t in enumerate(["ab", "", "c" * 9])],
+                                  "project string, doc_id long, page_no int, text string")
+    (row,) = enrich.source_context(pages, chars=5, separator="").collect()
+    assert row.source_text == "abccc"
