@@ -81,22 +81,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def _joined(listed: Column, begin: int, size: Column) -> Column:
+    return F.array_join(F.slice(listed, F.lit(begin), size), " ")
+
+
+def _title_of(listed: Column) -> Column:
+    return _joined(listed, 1, F.lit(5))
+
+
+def _rest_of(listed: Column) -> Column:
+    return _joined(listed, 6, F.greatest(F.size(listed) - 5, F.lit(0)))
+
+
 def _title(text: Column) -> Column:
-    return F.array_join(F.slice(words(text), 1, 5), " ")
+    return _title_of(words(text))
 
 
 def _rest(text: Column) -> Column:
-    listed = words(text)
-    return F.array_join(F.slice(listed, F.lit(6), F.greatest(F.size(listed) - 5, F.lit(0))), " ")
+    return _rest_of(words(text))
 
 
 def records(spark: SparkSession, sf_dir: str, project: Column | None = None) -> DataFrame:
-    text = F.col("text")
-    return _table(spark, sf_dir, "documents").select(
+    # The words are split once, in a projection of their own.
+    listed = _table(spark, sf_dir, "documents").withColumn("_words", words(F.col("text")))
+    return listed.select(
         (F.lit("all") if project is None else project).alias("project"),
         F.col("doc_id").alias("cand_order"),
-        _title(text).alias("title"),
-        _rest(text).alias("description"),
+        _title_of(F.col("_words")).alias("title"),
+        _rest_of(F.col("_words")).alias("description"),
         F.when(F.col("doc_id") % 3 == 0, "UI").otherwise("Functional").alias("type"),
     )
 
@@ -258,7 +270,7 @@ def json_list_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of distinct word sets above the threshold, with the copies behind each."""
-    classes = materialize(word_classes(word_records(records(spark, sf_dir))))
+    classes = materialize(word_classes(materialize(word_records(records(spark, sf_dir)))))
     copies = classes.select("id", "copies")
     return (
         similar_pairs(classes, ["project"], 0.45)
