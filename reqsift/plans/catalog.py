@@ -437,6 +437,20 @@ def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(model, texts).select("doc_id", "predicted")
 
 
+def training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document gets an answer, and whether the trained answers agree with the
+    labels at least as often as the most frequent label does."""
+    labelled = materialize(_labelled(spark, sf_dir))
+    model = train_classifier(labelled)
+    agrees = classify(model, labelled).select((F.col("predicted") == F.col("label")).cast("int").alias("same"), "label")
+    yes = F.avg((F.col("label") == "yes").cast("int"))
+    good = agrees.agg((F.avg("same") >= F.greatest(yes, 1 - yes)).alias("as_good_as_majority"))
+    texts = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    answered = classify(model, texts).select("doc_id", F.col("predicted").isin("yes", "no").alias("answered"))
+    # One row on the right.
+    return answered.join(F.broadcast(good))
+
+
 def enrichment_responses(found: DataFrame) -> DataFrame:
     """Recorded enrichment responses, made of the records; every tenth failed."""
     order, title = F.col("cand_order"), F.col("title")
@@ -748,6 +762,7 @@ def all_queries() -> dict[str, Query]:
         "saved_requirements": saved_requirements,
         "extract_flow": extract_flow,
         "finalise_flow": finalise_flow,
+        "training_quality": training_quality,
         "save_two_projects": save_two_projects,
         "saved_enriched": saved_enriched,
         "delivery_by_project": delivery_by_project,

@@ -454,6 +454,7 @@ SELECT doc_id, title AS short_title,
   '2024-05-06T07:08:09.123456' AS metadata_timestamp,
   ok AS metadata_confirmed
 FROM flagged""",
+        "training_quality": "SELECT doc_id, true AS answered, true AS as_good_as_majority FROM documents",
         "saved_enriched": f"""
 WITH {RECORDS}, flagged AS (
   SELECT *, doc_id % 11 <> 0 AND doc_id % 10 <> 0 AS ok FROM recs

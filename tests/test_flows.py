@@ -342,3 +342,16 @@ def test_context_without_a_separator(spark):
                                   "project string, doc_id long, page_no int, text string")
     (row,) = enrich.source_context(pages, chars=5, separator="").collect()
     assert row.source_text == "abccc"
+
+
+def test_batches_are_scored_together(spark):
+    def fn(columns):
+        if 13 in columns["id"]:
+            raise ValueError("bad batch")
+        return {"place": list(range(len(columns["id"])))}
+
+    got = scoring.score_batches(spark.range(0, 20, 1, 1), fn, ["id"], {"place": "bigint"}, rows=5)
+    rows = got.orderBy("id").collect()
+    assert [r.place for r in rows if r.error is None] == [0, 1, 2, 3, 4] * 3
+    assert [r.id for r in rows if r.error == "bad batch"] == [10, 11, 12, 13, 14]
+    assert scoring.score_batches(spark.range(9), fn, ["id"], {"place": "bigint"}, partitions=3).count() == 9
