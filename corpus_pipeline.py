@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reqsift.llm import language, lines, near, packing, secrets
 from reqsift.llm.queries import WORD_TOKENIZER
@@ -17,7 +17,7 @@ from reqsift.workspace import materialize
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _with_text(docs: DataFrame, text) -> DataFrame:
+def _with_text(docs: DataFrame, text: Column) -> DataFrame:
     """The documents with another text, and its length where they state one."""
     changed = docs.withColumn("text", text)
     if "n_chars" in docs.columns:
@@ -44,7 +44,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """One document of each group of near copies, of equal rows one (five words, 0.8)."""
     kept = near.components(docs, words=5, percent=80).filter("kept")
     ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    chosen = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    chosen = docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return chosen
     return chosen.dropDuplicates(["doc_id", "text"])

@@ -18,13 +18,15 @@ LAST = 2**63 - 1
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows by document: id (null last) and text; equal rows are one document."""
-    return docs.withColumns(
-        {
-            "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)),
-            "_text": whole_text(F.col("text")),
-            "_key": F.xxhash64(whole_text(F.col("text"))),
-        }
+    """Rows by document: id (null last) and text; equal rows are one document.
+
+    All columns are kept in one struct, so that none can clash with the names used here.
+    """
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"),
+        whole_text(F.col("text")).alias("_text"),
+        F.xxhash64(whole_text(F.col("text"))).alias("_key"),
     )
 
 
@@ -98,16 +100,18 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         return F.array_join(F.flatten(parts), "\n")
 
     lines = F.split("_text", "\n", -1)
-    out = joined.withColumns(
-        {
-            "text": F.when(F.col("runs").isNull(), F.col("text")).otherwise(let(lines, rest)),
-            "lines_before": F.size(lines).cast("long"),
-            "lines_removed": F.coalesce(
-                F.col("runs"), F.array().cast("array<struct<first:int,last:int>>")
-            ),
-        }
+    made = {
+        "text": F.when(F.col("runs").isNull(), F.col("_row")["text"]).otherwise(let(lines, rest)),
+        "lines_before": F.size(lines).cast("long"),
+        "lines_removed": F.coalesce(
+            F.col("runs"), F.array().cast("array<struct<first:int,last:int>>")
+        ),
+    }
+    own = [made.pop(c) if c in made else F.col("_row")[c] for c in docs.columns]
+    return joined.select(
+        *[column.alias(c) for c, column in zip(docs.columns, own)],
+        *[column.alias(c) for c, column in made.items()],
     )
-    return out.select(*docs.columns, *({"lines_before", "lines_removed"} - set(docs.columns)))
 
 
 def removed_count(runs: Column) -> Column:

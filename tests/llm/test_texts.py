@@ -158,6 +158,34 @@ def test_line_columns(spark, table):
     assert [[tuple(x) for x in r.lines_removed] for r in got] == [[], [(1, 3)], [(1, 3)]]
 
 
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(
+    f"{c} string" for c in "_id _text _key _row runs hash pos n cls sig node size kept kept_id score lang_pred held_out group key path".split()
+)
+
+
+def test_columns_with_clashing_names(spark, table, tmp_path):
+    import corpus_pipeline
+
+    from reqsift.llm import mixing, near, packing, pieces
+    from reqsift.llm.queries import PIECE_MODEL, WORD_TOKENIZER
+
+    rng = random.Random(17)
+    rows = [(n, "\n".join(prose(rng, "aa", 15) for _ in range(4)), "aa", "s", 1, *["x"] * 20) for n in range(30)]
+    rows += [(40, rows[3][1], None, None, None, *[None] * 20), (41, None, "aa", "s", 0, *["y"] * 20)]
+    data = table(rows, CLASHING)
+    out = lines.remove_repeats(data)
+    assert out.columns == [*data.columns, "lines_before", "lines_removed"]
+    assert {(r.doc_id, r.runs, r._id) for r in out.collect()} == {(r[0], r[9], r[5]) for r in rows}
+    assert near.components(data).count() == packing.pack(data, WORD_TOKENIZER).count() == 32
+    assert pieces.encode(data, PIECE_MODEL).count() == mixing.scores(data).count() == 32
+    assert quality.judged(data, table([(1, 1, "x")], "doc_id long, quality int, n_words string")).count() == 32
+    assert licences.scan(data).count() == 32
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        data = stage(spark, data, str(tmp_path))
+        assert [c for c, _ in data.dtypes] == [c.split()[0] for c in CLASHING.split(", ")]
+    assert {r.doc_id for r in data.collect()} == set(range(30))
+
+
 # -- licences --------------------------------------------------------------------------
 
 
