@@ -30,7 +30,7 @@ from reqsift.workspace import materialize
 SIGNATURE = 64
 TREES, DEPTH, LAST_DEPTH = 8, 3, 12
 #: Classes of one leaf that are compared exhaustively in one go.
-LEAF = 256
+LEAF = 2048
 #: Estimated similarity, below the threshold by this much, from which pairs of a leaf are
 #: confirmed: over four standard deviations of a signature's estimate.
 SLACK = 0.2
@@ -299,8 +299,9 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     sets = _full_sets(docs, wanted.select("cid", "cls", F.col("first_id").alias("want_id")), words)
 
     links = _confirmed(_to_hubs(members, percent), sets, percent)
+    # The components so far only spare comparisons, so they are not found again at each level.
+    labels = _labels(links)
     for depth in range(DEPTH, LAST_DEPTH + 1):
-        labels = _labels(links)
         mixed = _mixed(members.filter("size > 2"), labels, classes)
         large = mixed.filter(F.col("size") > LEAF)
         many = large.filter(F.col("others") > LEAF)
