@@ -55,19 +55,22 @@ def ascii_lower(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
 
 
-def per_process(key: tuple, make: Callable[[], Any]) -> Any:
+def per_process(key: tuple, make: Callable[[], Any], most: int = 2) -> Any:
     """``make()`` once per Python worker process, kept for its later tasks.
 
     Functions reach the workers by value, so their module's globals do not last
-    from task to task; a module entry of the process does.
+    from task to task; a module entry of the process does.  Only the ``most`` last used
+    are kept, so a worker that serves one stage after another does not fill up.
     """
     home = sys.modules.get("_reqsift_process_memory")
     if home is None:
         home = sys.modules["_reqsift_process_memory"] = types.ModuleType("_reqsift_process_memory")
         home.kept = {}
-    if key not in home.kept:
-        home.kept[key] = make()
-    return home.kept[key]
+    value = home.kept.pop(key) if key in home.kept else make()
+    home.kept[key] = value
+    while len(home.kept) > most:
+        del home.kept[next(iter(home.kept))]
+    return value
 
 
 class Memo(dict):
