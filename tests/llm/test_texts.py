@@ -1,6 +1,5 @@
 """Language, secrets, lines, licences and quality on small tables."""
 
-import hashlib
 import math
 import random
 import re
