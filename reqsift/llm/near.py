@@ -31,9 +31,9 @@ SIGNATURE = 64
 TREES, DEPTH, LAST_DEPTH = 8, 3, 12
 #: Classes of one leaf that are compared exhaustively in one go.
 LEAF = 2048
-#: Estimated similarity, below the threshold by this much, from which pairs of a leaf are
-#: confirmed: over four standard deviations of a signature's estimate.
-SLACK = 0.2
+#: Bins of the sketch by which pairs of a leaf are sorted out, and how many standard
+#: deviations below the threshold its estimate must lie for that.
+BINS, DEVIATIONS = 512, 4.5
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _ODD = np.random.default_rng(7).integers(0, 2**63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,14 +80,43 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype("<u4")
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """One byte for the least shingle of each bin, 0 for an empty bin.
+
+    Shingles are dealt into bins by a hash, so sets smaller than the sketch are told
+    apart nearly exactly.
+    """
+    mixed = np.sort(_mix(shingles * _C))
+    bins = (mixed & np.uint64(BINS - 1)).astype(np.int64)
+    out = np.zeros(BINS, dtype=np.uint8)
+    # Written from the largest down, so that the least of a bin stays.
+    out[bins[::-1]] = (1 + (mixed >> np.uint64(9)) % np.uint64(255)).astype(np.uint8)[::-1]
+    return out
+
+
+def may_be_similar(
+    one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, threshold: float
+) -> np.ndarray:
+    """Which of the sketches ``others`` are not surely below the threshold with ``one``.
+
+    The fewer shingles of both sets share their bins, the surer is the estimate.
+    """
+    equal = ((others == one) & (one != 0)).sum(1)
+    filled = np.maximum(((others | one) != 0).sum(1), 1)
+    union = (size + sizes) / (1 + threshold)
+    unseen = np.clip(1 - filled / union, 0, 1) + 0.05
+    slack = DEVIATIONS * np.sqrt(threshold * (1 - threshold) * unseen / filled) + 1 / filled
+    return equal >= (threshold - slack) * filled
+
+
 def _described(docs: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, n, cls, sig, bits)`` per row; ``cls`` is a 128-bit hash of the shingle set, and
-    ``bits`` has the lowest bit of each minwise token."""
+    """``(doc_id, n, cls, sig, bits, sketch)`` per row; ``cls`` is a 128-bit hash of the shingle
+    set, and ``bits`` has the lowest bit of each minwise token."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = per_process(("shingles", size), lambda: Shingler(size))
         for batch in batches:
-            n, cls, sig, bits = [], [], [], []
+            n, cls, sig, bits, sketches = [], [], [], [], []
             for text in batch.column(1):
                 shingles = shingler.shingles(text.as_py())
                 some = len(shingles) > 0
@@ -97,13 +126,14 @@ def _described(docs: DataFrame, size: int) -> DataFrame:
                 sig.append(tokens.tobytes() if some else None)
                 low = np.packbits(tokens & 1).view("<i8")[0] if some else None
                 bits.append(int(low) if some else None)
-            columns = [
-                pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary()), pa.array(bits, pa.int64())
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "cls", "sig", "bits"])
+                sketches.append(sketch(shingles).tobytes() if some else None)
+            columns = {"n": n, "cls": cls, "sig": sig, "bits": bits, "sketch": sketches}
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+            arrays = [pa.array(c, k) for c, k in zip(columns.values(), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *columns])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"))
-    return chosen.mapInArrow(work, "doc_id long, n long, cls binary, sig binary, bits long")
+    return chosen.mapInArrow(work, "doc_id long, n long, cls binary, sig binary, bits long, sketch binary")
 
 
 def _children(node: np.ndarray, row: np.ndarray, sig: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
@@ -224,13 +254,17 @@ def _exhaustive(threshold: float):
     def pairs_of(rows: list[tuple]) -> list[tuple[int, int]]:
         if len(rows) < 2:
             return []
-        sig = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(-1, SIGNATURE)
+        sketches = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, BINS)
+        label, n = np.asarray([r[2] for r in rows]), np.asarray([r[4] for r in rows])
         out = []
         for i in range(len(rows) - 1):
-            near = (sig[i + 1 :] == sig[i]).sum(1) >= (threshold - SLACK) * SIGNATURE
-            for j in (np.flatnonzero(near) + i + 1).tolist():
-                if rows[i][2] != rows[j][2]:
-                    out.append(tuple(sorted((rows[i][1], rows[j][1]))))
+            later = slice(i + 1, None)
+            open_ = label[later] != label[i]
+            open_ &= np.minimum(n[later], n[i]) >= (threshold - 1e-9) * np.maximum(n[later], n[i])
+            at = np.flatnonzero(open_) + i + 1
+            if len(at):
+                at = at[may_be_similar(sketches[i], n[i], sketches[at], n[at], threshold)]
+            out += [tuple(sorted((rows[i][1], rows[j][1]))) for j in at.tolist()]
         return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +325,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     classes = materialize(
         rows.filter("n > 0").groupBy("cls").agg(
             F.min("doc_id").alias("first_id"),
-            *[F.first(c).alias(c) for c in ("n", "sig", "bits")],
+            *[F.first(c).alias(c) for c in ("n", "sig", "bits", "sketch")],
         ).withColumn("cid", F.monotonically_increasing_id())
     )
     members = materialize(_with_hubs(_branched(classes, DEPTH, threshold, TREES).distinct()))
@@ -309,7 +343,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         leaves = [mixed.filter(F.col("size") <= LEAF), _few_against_all(large.filter(F.col("others") <= LEAF))]
         if last:
             leaves.append(_all_blocks(many))
-        leaf = reduce(DataFrame.unionByName, [x.select("node", "cid", "label", "sig") for x in leaves])
+        leaf = reduce(DataFrame.unionByName, [x.select("node", "cid", "label", "sketch", "n") for x in leaves])
         pairs = (
             leaf.repartition("node").sortWithinPartitions("node", "cid")
             .mapInArrow(_exhaustive(threshold), "a long, b long").distinct()
@@ -317,7 +351,8 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         links = links.unionByName(_confirmed(pairs, sets, percent))
         if last:
             break
-        members = materialize(_with_hubs(_branched(many, 1, threshold).distinct()))
+        signed = many.select("node", "cid", "n").join(classes.select("cid", "sig", "bits"), "cid")
+        members = materialize(_with_hubs(_branched(signed, 1, threshold).distinct()))
         # A hub need not be compared again with what it is already linked to.
         fresh = _to_hubs(members, percent).join(labels.toDF("a", "la"), "a", "left").join(
             labels.toDF("b", "lb"), "b", "left"
@@ -347,8 +382,8 @@ def _mixed(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
     ).filter(F.col("top.times") < F.col("all"))
     tops = spread.select("node", F.col("top.label").alias("main"), (F.col("all") - F.col("top.times")).alias("others"))
     return materialize(
-        labelled.join(tops, "node").join(classes.select("cid", "sig", "bits"), "cid")
-        .select("node", "cid", "label", "main", "others", "sig", "bits", "n", "size")
+        labelled.join(tops, "node").join(classes.select("cid", "sketch"), "cid")
+        .select("node", "cid", "label", "main", "others", "sketch", "n", "size")
     )
 
 
