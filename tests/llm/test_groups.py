@@ -231,3 +231,24 @@ def test_pipeline_equals_plain_stages(spark, docs, tmp_path):
     assert all(clean[i] == after[i] for i in first if not secrets.base_spans(after[i]))
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == first
+
+
+def test_sketches_never_rule_out_similar_sets():
+    rng = random.Random(41)
+    shingler = near.Shingler(3)
+    similar = ruled_out = 0
+    for _ in range(1500):
+        ws = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([5, 20, 60, 150, 500, 1500]))]
+        other = list(ws)
+        for _ in range(max(1, int(len(ws) * rng.choice([0.01, 0.02, 0.03, 0.1])))):
+            other[rng.randrange(len(ws))] = f"v{rng.randint(0, 10**6)}"
+        a, b = shingler.shingles(" ".join(ws)), shingler.shingles(" ".join(other))
+        both = len(np.intersect1d(a, b))
+        index = both / (len(a) + len(b) - both)
+        (open_,) = near.may_be_similar(near.sketch(a), len(a), near.sketch(b)[None], np.asarray([len(b)]), 0.85)
+        if index >= 0.85:
+            similar += 1
+            assert open_
+        elif index < 0.7:
+            ruled_out += not open_
+    assert similar > 200 and ruled_out > 100
