@@ -164,6 +164,23 @@ def test_scores(spark, docs, monkeypatch):
     assert len({round(r.score, 9) for r in got if r.doc_id in (3, 903)}) == 1
 
 
+def test_long_unseen_words_cost_every_byte(spark, docs):
+    rng = random.Random(23)
+    held = [i for i in range(10_000, 10_200) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    sizes = dict(zip(held, (100, 400, 1600, 9000)))
+    rows = [(n, " ".join(rng.choices(["kalo", "misu", "loka"], k=30)), "aa") for n in range(60)]
+    rows += [(i, "".join(rng.choices("0123456789abcdef", k=n)), "aa") for i, n in sizes.items()]
+    got = {r.doc_id: r for r in mixing.scores(docs(rows)).collect()}
+    for i, n in sizes.items():
+        # Sixteen letters at random hold four bits each, and no model can know better.
+        assert got[i].held_out and -got[i].score / math.log10(2) > 4 * n
+        assert got[i].bits_per_byte > 3.9
+    # The sum is exact where the spelling is far below what a double can hold.
+    assert mixing._log10_sum(np.asarray([0.0, 1e-3, 0.25]), np.asarray([-9000.0, -9000.0, math.log10(0.25)])) == pytest.approx(
+        [-9000.0, -3.0, math.log10(0.5)]
+    )
+
+
 def test_spelling_is_a_distribution(spark, table):
     vocabulary = table([("ab", 3), ("abc", 1), ("b", 7)], "word string, c long")
     model = mixing.train(vocabulary)
