@@ -9,8 +9,9 @@ A leaf first compares its classes with one hub only, the member that agrees most
 the leaf's majority, and what that links is settled: a large group of near copies costs
 one comparison per member instead of all pairs.  Leaves with members of several
 components are then compared exhaustively if small.  In a large one, the few members
-outside its largest component are compared with all, in blocks; if they are many, the
-leaf is branched further, and at the last level compared in blocks of all its members.
+outside its largest component are compared with all, in blocks; if they are many, all
+members are compared, in pairs of blocks.  No leaf is branched on for its size, as each
+further level would lose pairs at the threshold.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from reqsift.operators.components import connected_components
 from reqsift.workspace import materialize
 
 SIGNATURE = 64
-TREES, DEPTH, LAST_DEPTH = 8, 3, 12
+TREES, DEPTH = 8, 3
 #: Classes of one leaf that are compared exhaustively in one go.
 LEAF = 2048
 #: Bins of the sketch by which pairs of a leaf are sorted out, and how many standard
@@ -150,8 +151,8 @@ def _children(node: np.ndarray, row: np.ndarray, sig: np.ndarray, rate: float) -
     return nodes, np.concatenate([row, row[both]])
 
 
-def _branched(classes: DataFrame, levels: int, threshold: float, trees: int = 0) -> DataFrame:
-    """``(node, cid, n, bits)`` ``levels`` further down: from the roots of ``trees``, or from column ``node``."""
+def _branched(classes: DataFrame, levels: int, threshold: float, trees: int) -> DataFrame:
+    """``(node, cid, n, bits)`` ``levels`` below the roots of ``trees``."""
     rate = 1 / threshold - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,12 +160,8 @@ def _branched(classes: DataFrame, levels: int, threshold: float, trees: int = 0)
             if not batch.num_rows:
                 continue
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, SIGNATURE)
-            row = np.arange(batch.num_rows)
-            if trees:
-                node = np.repeat(_mix(np.arange(1, trees + 1, dtype=np.uint64)), len(row))
-                row = np.tile(row, trees)
-            else:
-                node = batch.column(4).to_numpy().view(np.uint64)
+            row = np.tile(np.arange(batch.num_rows), trees)
+            node = np.repeat(_mix(np.arange(1, trees + 1, dtype=np.uint64)), batch.num_rows)
             for _ in range(levels):
                 node, row = _children(node, row, sig, rate)
             own = [batch.column(k).take(pa.array(row)) for k in (0, 1, 3)]
@@ -172,8 +169,7 @@ def _branched(classes: DataFrame, levels: int, threshold: float, trees: int = 0)
                 [pa.array(node.view(np.int64)), *own], names=["node", "cid", "n", "bits"]
             )
 
-    columns = ["cid", "n", "sig", "bits"] + ([] if trees else ["node"])
-    return classes.select(*columns).mapInArrow(work, "node long, cid long, n long, bits long")
+    return classes.select("cid", "n", "sig", "bits").mapInArrow(work, "node long, cid long, n long, bits long")
 
 
 def _with_hubs(nodes: DataFrame) -> DataFrame:
@@ -333,31 +329,20 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     sets = _full_sets(docs, wanted.select("cid", "cls", F.col("first_id").alias("want_id")), words)
 
     links = _confirmed(_to_hubs(members, percent), sets, percent)
-    # The components so far only spare comparisons, so they are not found again at each level.
-    labels = _labels(links)
-    for depth in range(DEPTH, LAST_DEPTH + 1):
-        mixed = _mixed(members.filter("size > 2"), labels, classes)
-        large = mixed.filter(F.col("size") > LEAF)
-        many = large.filter(F.col("others") > LEAF)
-        last = depth == LAST_DEPTH or many.isEmpty()
-        leaves = [mixed.filter(F.col("size") <= LEAF), _few_against_all(large.filter(F.col("others") <= LEAF))]
-        if last:
-            leaves.append(_all_blocks(many))
-        leaf = reduce(DataFrame.unionByName, [x.select("node", "cid", "label", "sketch", "n") for x in leaves])
-        pairs = (
-            leaf.repartition("node").sortWithinPartitions("node", "cid")
-            .mapInArrow(_exhaustive(threshold), "a long, b long").distinct()
-        )
-        links = links.unionByName(_confirmed(pairs, sets, percent))
-        if last:
-            break
-        signed = many.select("node", "cid", "n").join(classes.select("cid", "sig", "bits"), "cid")
-        members = materialize(_with_hubs(_branched(signed, 1, threshold).distinct()))
-        # A hub need not be compared again with what it is already linked to.
-        fresh = _to_hubs(members, percent).join(labels.toDF("a", "la"), "a", "left").join(
-            labels.toDF("b", "lb"), "b", "left"
-        ).filter("la is null or lb is null or la != lb").select("a", "b")
-        links = materialize(links.unionByName(_confirmed(fresh, sets, percent)).distinct())
+    # The components so far only spare comparisons.
+    mixed = _mixed(members.filter("size > 2"), _labels(links), classes)
+    large = mixed.filter(F.col("size") > LEAF)
+    leaves = [
+        mixed.filter(F.col("size") <= LEAF),
+        _few_against_all(large.filter(F.col("others") <= LEAF)),
+        _all_blocks(large.filter(F.col("others") > LEAF)),
+    ]
+    leaf = reduce(DataFrame.unionByName, [x.select("node", "cid", "label", "sketch", "n") for x in leaves])
+    pairs = (
+        leaf.repartition("node").sortWithinPartitions("node", "cid")
+        .mapInArrow(_exhaustive(threshold), "a long, b long").distinct()
+    )
+    links = links.unionByName(_confirmed(pairs, sets, percent))
 
     labels = _labels(links)
     named = classes.select("cid", "cls", "first_id").join(labels, "cid", "left").withColumn(

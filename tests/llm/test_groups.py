@@ -76,6 +76,21 @@ def test_components_equal_brute_force(spark, docs, monkeypatch, size, percent, l
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_large_leaves_of_unlike_texts_lose_no_link(spark, docs, monkeypatch):
+    monkeypatch.setattr(near, "LEAF", 16)
+    rng = random.Random(51)
+    template = [f"t{k}" for k in range(300)]
+    texts = []
+    for _ in range(300):  # pairs a little above the threshold, on a template that links no two of them
+        ws = template + [f"u{rng.randint(0, 10**7)}" for _ in range(120)]
+        texts += [" ".join(ws), " ".join(ws[:400] + [f"v{rng.randint(0, 10**7)}" for _ in range(33)])]
+    rows = list(enumerate(texts))
+    got = near.components(docs(rows), words=3, percent=85).collect()
+    want = groups(rows, 3, 85)
+    assert len({c for _, _, c in want}) == 300
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+
+
 def test_no_documents(spark, docs):
     assert near.components(docs([])).count() == 0
 
