@@ -27,8 +27,11 @@ def _with_text(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without a letter go."""
+    """Documents in which a language is found; those without a letter go, and only those
+    where no document names a language."""
     model = language.fit(docs)
+    if not model.languages:
+        return docs.filter(language.with_letter(F.col("text")))
     known = language.predicted(F.col("text"), model)["lang_pred"] != language.UNKNOWN
     return docs.filter(known)
 

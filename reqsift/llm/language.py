@@ -157,3 +157,13 @@ def predicted(text: Column, model: Model) -> Column:
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     return predict(whole_text(text))
+
+
+def with_letter(text: Column) -> Column:
+    """Whether a text has a letter; a null one has none."""
+
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(has_letter).astype(bool)
+
+    return found(whole_text(text))

@@ -265,6 +265,12 @@ def test_pipeline_equals_plain_stages(spark, docs, tmp_path):
     assert {r.doc_id for r in packed} == first
 
 
+def test_documents_without_languages_are_kept(spark, docs):
+    rows = [(1, "kala su", None), (2, "### 12", None), (3, None, None), (4, "été", None)]
+    kept = corpus_pipeline.known_language(spark, docs(rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
+
+
 def test_sketches_never_rule_out_similar_sets():
     rng = random.Random(41)
     shingler = near.Shingler(3)
