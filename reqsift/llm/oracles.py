@@ -186,3 +186,52 @@ SELECT d.doc_id, d.path, coalesce(own.licence, i.licence) AS licence,
   coalesce(own.score, i.score) AS score, CASE WHEN own.doc_id IS NULL THEN i.up END AS governed_by
 FROM d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN inherited i ON i.folder = d.folder
 """
+
+OP12_SUFFIXES = r"""
+WITH t AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents
+), win AS (
+  SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS body
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM t)
+), often AS (SELECT body FROM win GROUP BY body HAVING count(*) > 1
+), hit AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM win SEMI JOIN often USING (body)
+), run AS (
+  SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM hit
+), span AS (
+  SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM run GROUP BY doc_id, grp
+), piece AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM span
+), head AS (
+  SELECT p.doc_id, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept,
+    max(b) AS tail, sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM piece p JOIN t ON p.doc_id = t.doc_id GROUP BY p.doc_id
+)
+SELECT t.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN head ON t.doc_id = head.doc_id
+"""
+
+OP13_NEGATIVES = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+WHERE 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""

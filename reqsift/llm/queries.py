@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reqsift.llm import graph, language, licences, lines, mixing, near, oracles, packing, pieces, quality, secrets
+from reqsift.llm import (
+    graph, language, licences, lines, mixing, near, negatives, oracles, packing, pieces, quality, secrets, suffixes,
+    whitening,
+)
 from reqsift.llm.common import fold, table, whole_text
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -103,11 +106,36 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh id bears the next label."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = rows.select("vec_id", moved.alias("label"), "embedding")
+    return negatives.mined(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_licences,
         op2_pieces, op3_secrets, op4_near, op5_lines, op6_packing, op7_mixing, op8_language, op9_neighbours,
-        op10_quality,
+        op10_quality, op11_whitening, op12_suffixes, op13_negatives,
     ]
     return {f.__name__: f for f in named}
 
@@ -118,4 +146,6 @@ def all_oracles() -> dict[str, str]:
         "op4_near": oracles.OP4_NEAR,
         "op5_lines": oracles.OP5_LINES,
         "op10_quality": oracles.OP10_QUALITY,
+        "op12_suffixes": oracles.OP12_SUFFIXES,
+        "op13_negatives": oracles.OP13_NEGATIVES,
     }
