@@ -12,8 +12,9 @@ suffixes of its members, and one ascending pass then emits the order of every gr
 symbols are words, ranked by their bytes, and bytes where words are long; a string that
 starts within a word is told by the bytes before its first whole word.
 
-A gram with more distinct runs than one task should hold has its strings counted one by
-one instead, with partial counts before the shuffle.
+A gram with more distinct runs than one task should hold has them cut into runs of a
+longer gram, of which few are met twice.  Where even such a gram has too many runs, their
+strings are counted one by one, with partial counts before the shuffle.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from reqsift.llm.common import whole_text
 from reqsift.workspace import materialize
 
 #: Distinct runs of one gram that are sorted together, and bytes sorted in one go.
-RUNS, BATCH = 1000, 1 << 20
+RUNS, BATCH = 20_000, 1 << 20
 #: Bytes of text whose grams are hashed in one go.
 CHUNK = 1 << 20
 
@@ -67,31 +68,43 @@ def suffix_order(symbols: list[int]) -> list[int]:
         first = start[slots[end - 1]]
         if end - first == 1:
             s = slots[first]
+            end = first
             done[s] = 1
             p = s - 1
             while p >= 0 and done[p]:
                 p = smaller[p]
             smaller[s] = p
-            levels = (p,) if p >= 0 else ()
-            levels = (levels,)
+            # The parent moves to the top of its group, where it is a group of its own.
+            if p >= 0:
+                a = start[p]
+                last = stop[a] - 1
+                if last > a:
+                    other, at = slots[last], place[p]
+                    slots[at], place[other] = other, at
+                    slots[last], place[p] = p, last
+                    stop[a], start[p], stop[last] = last, last, last + 1
+            continue
+        group = slots[first:end]
+        group.sort()
+        end = first
+        for s in group:
+            done[s] = 1
+        times: dict[int, int] = {}
+        for s in group:
+            p = s - 1
+            while p >= 0 and done[p]:
+                p = smaller[p]
+            smaller[s] = p
+            if p >= 0:
+                times[p] = times.get(p, 0) + 1
+        if len(times) == len(group):
+            levels = [list(times)]
         else:
-            group = sorted(slots[first:end])
-            for s in group:
-                done[s] = 1
-            times: dict[int, int] = {}
-            for s in group:
-                p = s - 1
-                while p >= 0 and done[p]:
-                    p = smaller[p]
-                smaller[s] = p
-                if p >= 0:
-                    times[p] = times.get(p, 0) + 1
             by_times: dict[int, list[int]] = {}
             for p, k in times.items():
                 by_times.setdefault(k, []).append(p)
             # The more often the group follows, the larger is the suffix.
             levels = [by_times[k] for k in sorted(by_times, reverse=True)]
-        end = first
         for level in levels:
             before: dict[int, int] = {}
             for p in level:
@@ -134,20 +147,20 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return values
 
 
-def gram_length(length: int) -> int:
-    """The power of two up to 32 that leaves strings of ``length`` several grams."""
-    return 1 << min(5, max(0, (length // 2).bit_length() - 1))
+def gram_lengths(length: int) -> tuple[int, int]:
+    """Powers of two for strings of ``length``: up to 32 with several grams each, and the largest."""
+    return 1 << min(5, max(0, (length // 2).bit_length() - 1)), 1 << (length.bit_length() - 1)
 
 
 class Runs:
-    """The runs of one piece of joined texts: strings of ``length`` bytes with the same least gram.
+    """The runs of one piece of joined texts: strings of ``length`` bytes with the same least
+    gram of ``size`` bytes.
 
     ``low`` and ``high`` are the first and last start of a run, ``gram`` its key, ``again``
     whether one of its strings may occur twice in it.
     """
 
-    def __init__(self, joined: np.ndarray, begins: np.ndarray, length: int):
-        size = gram_length(length)
+    def __init__(self, joined: np.ndarray, begins: np.ndarray, length: int, size: int):
         width = length - size + 1
         grams = _mix(joined.astype(np.uint64) + _A)
         have = 1
@@ -272,46 +285,47 @@ def _table(columns: dict[str, list | np.ndarray], kinds: dict[str, pa.DataType])
     return pa.RecordBatch.from_arrays([pa.array(columns[c], k) for c, k in kinds.items()], names=list(kinds))
 
 
-def _runs(texts: DataFrame, length: int) -> DataFrame:
-    """``(c1, c2, low, high, gram, run, again)`` of every text; ``run`` hashes the bytes of the run."""
+def _runs(texts: DataFrame, length: int, size: int) -> DataFrame:
+    """``(c1, c2, low, high, gram, run, again, times)`` of every text ``(c1, c2, bytes, times)``;
+    ``run`` hashes the bytes of the run."""
     kinds = {
         "c1": pa.int64(), "c2": pa.int64(), "low": pa.int32(), "high": pa.int32(),
-        "gram": pa.int64(), "run": pa.int64(), "again": pa.bool_(),
+        "gram": pa.int64(), "run": pa.int64(), "again": pa.bool_(), "times": pa.int32(),
     }
 
     def found(held: list[tuple]) -> pa.RecordBatch:
         import xxhash
 
         joined, begins = _joined([h[2] for h in held])
-        runs = Runs(joined, begins, length)
+        runs = Runs(joined, begins, length, size)
         buffer, digest = memoryview(joined), xxhash.xxh3_64_intdigest
         bounds = zip(runs.low.tolist(), (runs.high + length).tolist())
         hashed = np.fromiter((digest(buffer[a:b]) for a, b in bounds), np.uint64, len(runs.low))
-        c1, c2 = (np.asarray([h[k] for h in held], np.int64)[runs.text] for k in (0, 1))
+        c1, c2, times = (np.asarray([h[k] for h in held], np.int64)[runs.text] for k in (0, 1, 3))
         begin = begins[runs.text]
         return _table(
             {
                 "c1": c1, "c2": c2, "low": runs.low - begin, "high": runs.high - begin,
-                "gram": runs.gram, "run": hashed.view(np.int64), "again": runs.again,
+                "gram": runs.gram, "run": hashed.view(np.int64), "again": runs.again, "times": times,
             },
             kinds,
         )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, total = [], 0
         for batch in batches:
-            for c1, c2, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for c1, c2, text, times in zip(*(c.to_pylist() for c in batch.columns)):
                 if len(text) >= length:
-                    held.append((c1, c2, text))
-                    size += len(text)
-                if size >= CHUNK:
+                    held.append((c1, c2, text, times))
+                    total += len(text)
+                if total >= CHUNK:
                     yield found(held)
-                    held, size = [], 0
+                    held, total = [], 0
         if held:
             yield found(held)
 
-    schema = "c1 long, c2 long, low int, high int, gram long, run long, again boolean"
-    return texts.select("c1", "c2", "bytes").mapInArrow(work, schema)
+    schema = "c1 long, c2 long, low int, high int, gram long, run long, again boolean, times int"
+    return texts.select("c1", "c2", "bytes", "times").mapInArrow(work, schema)
 
 
 def _cut(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -378,7 +392,7 @@ def _sorted_repeats(parts: DataFrame, length: int) -> DataFrame:
 
 
 def _counted_repeats(parts: DataFrame, length: int) -> DataFrame:
-    """As ``_sorted_repeats``, by counting single strings: for grams of very many runs."""
+    """As ``_sorted_repeats``, by counting single strings."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,43 +408,27 @@ def _counted_repeats(parts: DataFrame, length: int) -> DataFrame:
                     names=["gram", "run", "at", "times", "k1", "k2"],
                 )
 
-    strings = parts.mapInArrow(work, "gram long, run long, at int, times long, k1 long, k2 long")
-    # Copies of a run that several tasks cut out are one.
-    strings = strings.groupBy("k1", "k2", "gram", "run", "at").agg(F.max("times").alias("times"))
+    strings = parts.select("gram", "run", "several", "part").mapInArrow(
+        work, "gram long, run long, at int, times long, k1 long, k2 long"
+    )
     often = strings.groupBy("k1", "k2").agg(F.sum("times").alias("all")).filter("all > 1")
     return strings.join(often, ["k1", "k2"]).select("gram", "run", F.col("at").alias("first"), F.col("at").alias("last"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """``(doc_id, n_bytes, removed, kept)`` for every row of ``docs(doc_id, text, …)``.
-
-    Texts are UTF-8 bytes.  A byte goes if it is covered by a string of ``length`` bytes
-    that also starts at another place of the table, in the same text or another; strings
-    may overlap and never cross texts.  ``removed`` lists the stretches ``(start, stop)``
-    that go, in order, and ``kept`` has the bytes left, joined.
-
-    A null text is an empty one; texts shorter than ``length`` stay as they are.  Repeated
-    rows are copies of each other and all go.  Null ids are kept as ids.  Other columns,
-    whatever their names, are ignored; an empty table gives no rows.
-    """
-    text = whole_text(F.col("text"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
-        F.xxhash64("text").alias("c1"), F.xxhash64(F.lit(1), "text").alias("c2"), "doc_id",
-        F.col("text").cast("binary").alias("bytes"),
-    )
-    runs = materialize(_runs(texts, length))
+def _repeats(texts: DataFrame, length: int, sizes: tuple[int, ...]) -> DataFrame:
+    """``(c1, c2, first, last)``: stretches of starts, in each of ``texts(c1, c2, bytes, times, …)``,
+    whose strings occur again; ``sizes`` are the gram lengths to go through."""
+    runs = materialize(_runs(texts, length, sizes[0]))
     grams = runs.groupBy("gram").agg(
-        F.count("*").alias("times"), F.min("run").alias("one"), F.max("run").alias("two"), F.max("again").alias("again"),
-    ).filter("times > 1 or again")
+        F.sum("times").alias("all"), F.min("run").alias("one"), F.max("run").alias("two"), F.max("again").alias("again"),
+    ).filter("all > 1 or again")
     mixed = (F.col("one") != F.col("two")) | F.col("again")
-    open_ = materialize(
-        runs.drop("again").join(grams.select("gram", mixed.alias("mixed")), "gram")
-    )
+    open_ = materialize(runs.drop("again").join(grams.select("gram", mixed.alias("mixed")), "gram"))
     settled = open_.filter(~F.col("mixed")).select("c1", "c2", F.col("low").alias("first"), F.col("high").alias("last"))
     unsettled = open_.filter("mixed").drop("mixed")
 
     distinct = unsettled.groupBy("gram", "run").agg(
-        (F.count("*") > 1).alias("several"), F.min(F.struct("c1", "c2", "low", "high")).alias("copy")
+        (F.sum("times") > 1).alias("several"), F.min(F.struct("c1", "c2", "low", "high")).alias("copy")
     )
     many = distinct.groupBy("gram").agg((F.count("*") > RUNS).alias("many"))
     wanted = materialize(
@@ -439,13 +437,50 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             (F.col("copy.high") + length).alias("stop"), "many",
         )
     )
-    repeats = _sorted_repeats(_cut(texts, wanted.filter("not many")), length).unionByName(
-        _counted_repeats(_cut(texts, wanted.filter("many")), length)
-    )
+    repeats = _sorted_repeats(_cut(texts, wanted.filter("not many")), length)
+    crowded = wanted.filter("many")
+    if not crowded.isEmpty():
+        repeats = repeats.unionByName(_crowded_repeats(_cut(texts, crowded), length, sizes[1:]))
     found = unsettled.join(repeats, ["gram", "run"]).select(
         "c1", "c2", (F.col("low") + F.col("first")).alias("first"), (F.col("low") + F.col("last")).alias("last")
     )
-    covers = settled.unionByName(found).groupBy("c1", "c2").agg(
+    return settled.unionByName(found)
+
+
+def _crowded_repeats(parts: DataFrame, length: int, sizes: tuple[int, ...]) -> DataFrame:
+    """As ``_sorted_repeats``, for the runs of grams that have very many."""
+    # Copies of a run that several tasks cut out are one.
+    parts = parts.groupBy("gram", "run").agg(F.max("several").alias("several"), F.first("part").alias("part"))
+    if not sizes:
+        return _counted_repeats(parts, length)
+    times = F.when(F.col("several"), 2).otherwise(1)
+    texts = materialize(
+        parts.select(
+            F.col("gram").alias("c1"), F.col("run").alias("c2"), F.lit(0).cast("long").alias("doc_id"),
+            F.col("part").alias("bytes"), times.alias("times"),
+        )
+    )
+    return _repeats(texts, length, sizes).select(F.col("c1").alias("gram"), F.col("c2").alias("run"), "first", "last")
+
+
+def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """``(doc_id, n_bytes, removed, kept)`` for every row of ``docs(doc_id, text, …)``.
+
+    Texts are UTF-8 bytes.  A byte goes if it is covered by a string of ``length`` bytes
+    that also starts at another place of the table, in the same text or another; strings
+    may overlap and never cross texts.  ``removed`` lists the stretches ``(start, stop)``
+    that go, in order, and ``kept`` has the bytes left, joined.
+
+    A null text is an empty one; texts shorter than ``length`` stay as they are.  Repeated
+    rows are copies of each other and all go.  Null ids are kept as ids.  Other columns,
+    whatever their names, are ignored; an empty table gives no rows.
+    """
+    text = whole_text(F.col("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
+        F.xxhash64("text").alias("c1"), F.xxhash64(F.lit(1), "text").alias("c2"), "doc_id",
+        F.col("text").cast("binary").alias("bytes"), F.lit(1).alias("times"),
+    )
+    covers = _repeats(texts, length, gram_lengths(length)).groupBy("c1", "c2").agg(
         F.collect_set(F.struct("first", "last")).alias("covers")
     )
 
