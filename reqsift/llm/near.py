@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reqsift.llm.common import WORD, Memo, ascii_lower, per_process, whole_text
+from reqsift.llm.common import WORD, Memo, ascii_lower, whole_text
 from reqsift.operators.components import connected_components
 from reqsift.workspace import materialize
 
@@ -57,7 +57,7 @@ class Shingler:
         import xxhash
 
         self.size, self.words = size, re.compile(WORD)
-        self.hash = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), 200_000)
+        self.hash = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")))
 
     def shingles(self, text: str) -> np.ndarray:
         """Sorted; a text of fewer words than a shingle is one of its own, without words none."""
@@ -111,13 +111,13 @@ def may_be_similar(
 
 
 def _described(docs: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, n, cls, sig, bits, sketch)`` per row; ``cls`` is a 128-bit hash of the shingle
+    """``(doc_id, n, cls, sig, bits)`` per row; ``cls`` is a 128-bit hash of the shingle
     set, and ``bits`` has the lowest bit of each minwise token."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = per_process(("shingles", size), lambda: Shingler(size))
+        shingler = Shingler(size)
         for batch in batches:
-            n, cls, sig, bits, sketches = [], [], [], [], []
+            n, cls, sig, bits = [], [], [], []
             for text in batch.column(1):
                 shingles = shingler.shingles(text.as_py())
                 some = len(shingles) > 0
@@ -127,14 +127,13 @@ def _described(docs: DataFrame, size: int) -> DataFrame:
                 sig.append(tokens.tobytes() if some else None)
                 low = np.packbits(tokens & 1).view("<i8")[0] if some else None
                 bits.append(int(low) if some else None)
-                sketches.append(sketch(shingles).tobytes() if some else None)
-            columns = {"n": n, "cls": cls, "sig": sig, "bits": bits, "sketch": sketches}
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+            columns = {"n": n, "cls": cls, "sig": sig, "bits": bits}
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64()]
             arrays = [pa.array(c, k) for c, k in zip(columns.values(), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *columns])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"))
-    return chosen.mapInArrow(work, "doc_id long, n long, cls binary, sig binary, bits long, sketch binary")
+    return chosen.mapInArrow(work, "doc_id long, n long, cls binary, sig binary, bits long")
 
 
 def _children(node: np.ndarray, row: np.ndarray, sig: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
@@ -206,9 +205,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(left, right):
-            x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * common >= percent * (len(x) + len(y) - common))
+            out.append(_similar(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), percent))
         return pa.array(out, pa.bool_())
 
     of = {k: sets.select(F.col("cid").alias(k), F.col("shingles").alias("set_" + k)) for k in "ab"}
@@ -220,7 +217,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``(cid, shingles)`` of the wanted classes ``(cid, cls, want_id)``, from one row of each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = per_process(("shingles", size), lambda: Shingler(size))
+        shingler = Shingler(size)
         for batch in batches:
             cids, sets = [], []
             for text, cls, cid in zip(*batch.columns):
@@ -244,24 +241,41 @@ def _labels(links: DataFrame) -> DataFrame:
     return materialize(found.select(F.col("node").alias("cid"), F.col("component").alias("label")))
 
 
-def _exhaustive(threshold: float):
-    """Within each node of sorted rows: likely similar pairs of different labels."""
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are as similar as asked."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
-    def pairs_of(rows: list[tuple]) -> list[tuple[int, int]]:
-        if len(rows) < 2:
-            return []
-        sketches = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, BINS)
-        label, n = np.asarray([r[2] for r in rows]), np.asarray([r[4] for r in rows])
-        out = []
-        for i in range(len(rows) - 1):
-            later = slice(i + 1, None)
-            open_ = label[later] != label[i]
-            open_ &= np.minimum(n[later], n[i]) >= (threshold - 1e-9) * np.maximum(n[later], n[i])
-            at = np.flatnonzero(open_) + i + 1
-            if len(at):
-                at = at[may_be_similar(sketches[i], n[i], sketches[at], n[at], threshold)]
-            out += [tuple(sorted((rows[i][1], rows[j][1]))) for j in at.tolist()]
-        return out
+
+def _joining(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between members ``(node, cid, label, shingles)`` of a node, confirmed on their sets.
+
+    Members already joined, by label or by a link before, are not compared, so there are
+    fewer links than members.
+    """
+    if len(rows) < 2:
+        return []
+    threshold = percent / 100
+    sets = [np.frombuffer(r[3], "<u8") for r in rows]
+    sketches, n = np.stack([sketch(s) for s in sets]), np.array([len(s) for s in sets])
+    group = np.unique([r[2] for r in rows], return_inverse=True)[1]
+    out = []
+    for i in range(len(rows) - 1):
+        later = slice(i + 1, None)
+        open_ = group[later] != group[i]
+        open_ &= np.minimum(n[later], n[i]) >= (threshold - 1e-9) * np.maximum(n[later], n[i])
+        at = np.flatnonzero(open_) + i + 1
+        if len(at):
+            at = at[may_be_similar(sketches[i], n[i], sketches[at], n[at], threshold)]
+        for j in at.tolist():
+            if group[j] != group[i] and _similar(sets[i], sets[j], percent):
+                group[group == group[j]] = group[i]
+                out.append(tuple(sorted((rows[i][1], rows[j][1]))))
+    return out
+
+
+def _exhaustive(percent: int):
+    """Within each node of sorted rows: confirmed links that join its components."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -269,13 +283,13 @@ def _exhaustive(threshold: float):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held[0][0] != row[0]:
-                    found += pairs_of(held)
+                    found += _joining(held, percent)
                     held = []
                 held.append(row)
             if found:
                 yield _pair_batch(found)
                 found = []
-        if found := pairs_of(held):
+        if found := _joining(held, percent):
             yield _pair_batch(found)
 
     return work
@@ -321,7 +335,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     classes = materialize(
         rows.filter("n > 0").groupBy("cls").agg(
             F.min("doc_id").alias("first_id"),
-            *[F.first(c).alias(c) for c in ("n", "sig", "bits", "sketch")],
+            *[F.first(c).alias(c) for c in ("n", "sig", "bits")],
         ).withColumn("cid", F.monotonically_increasing_id())
     )
     members = materialize(_with_hubs(_branched(classes, DEPTH, threshold, TREES).distinct()))
@@ -330,19 +344,20 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     links = _confirmed(_to_hubs(members, percent), sets, percent)
     # The components so far only spare comparisons.
-    mixed = _mixed(members.filter("size > 2"), _labels(links), classes)
+    mixed = _mixed(members.filter("size > 2"), _labels(links))
     large = mixed.filter(F.col("size") > LEAF)
     leaves = [
         mixed.filter(F.col("size") <= LEAF),
         _few_against_all(large.filter(F.col("others") <= LEAF)),
         _all_blocks(large.filter(F.col("others") > LEAF)),
     ]
-    leaf = reduce(DataFrame.unionByName, [x.select("node", "cid", "label", "sketch", "n") for x in leaves])
-    pairs = (
-        leaf.repartition("node").sortWithinPartitions("node", "cid")
-        .mapInArrow(_exhaustive(threshold), "a long, b long").distinct()
+    leaf = reduce(DataFrame.unionByName, [x.select("node", "cid", "label") for x in leaves])
+    joined = (
+        leaf.join(sets, "cid").select("node", "cid", "label", "shingles")
+        .repartition("node").sortWithinPartitions("node", "cid")
+        .mapInArrow(_exhaustive(percent), "a long, b long").distinct()
     )
-    links = links.unionByName(_confirmed(pairs, sets, percent))
+    links = links.unionByName(materialize(joined))
 
     labels = _labels(links)
     named = classes.select("cid", "cls", "first_id").join(labels, "cid", "left").withColumn(
@@ -357,7 +372,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     )
 
 
-def _mixed(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of nodes that hold several components, with their ``label``, the node's largest
     one as ``main`` and how many are in ``others``."""
     labelled = members.drop("hub").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
@@ -366,10 +381,7 @@ def _mixed(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
         F.max(F.struct("times", "label")).alias("top"), F.sum("times").alias("all")
     ).filter(F.col("top.times") < F.col("all"))
     tops = spread.select("node", F.col("top.label").alias("main"), (F.col("all") - F.col("top.times")).alias("others"))
-    return materialize(
-        labelled.join(tops, "node").join(classes.select("cid", "sketch"), "cid")
-        .select("node", "cid", "label", "main", "others", "sketch", "n", "size")
-    )
+    return materialize(labelled.join(tops, "node").select("node", "cid", "label", "main", "others", "size"))
 
 
 def _to_hubs(members: DataFrame, percent: int) -> DataFrame:
