@@ -60,7 +60,8 @@ def per_process(key: tuple, make: Callable[[], Any], most: int = 2) -> Any:
 
     Functions reach the workers by value, so their module's globals do not last
     from task to task; a module entry of the process does.  Only the ``most`` last used
-    are kept, so a worker that serves one stage after another does not fill up.
+    are kept, so a worker that serves one stage after another does not fill up.  What a
+    value remembers of the texts it has seen, its user drops when the task ends.
     """
     home = sys.modules.get("_reqsift_process_memory")
     if home is None:
@@ -74,22 +75,33 @@ def per_process(key: tuple, make: Callable[[], Any], most: int = 2) -> Any:
 
 
 class Memo(dict):
-    """A bounded memory of ``make(word)``; old entries fall out in two generations.
+    """A memory of ``make(word)``, bounded in bytes; old entries fall out in two generations.
 
-    It only saves time: a forgotten entry is made again with the same value.
+    It only saves time: a forgotten entry is made again with the same value.  Long words
+    seldom come again and are not remembered.
     """
 
-    def __init__(self, make: Callable[[str], Any], limit: int = 200_000):
+    #: About what an entry takes besides its letters and its value's bytes.
+    ENTRY = 200
+
+    def __init__(self, make: Callable[[str], Any], room: int = 32 << 20, longest: int = 100):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.room, self.longest = make, room, longest
+        self.old, self.used = {}, 0
 
     def __missing__(self, word: str) -> Any:
         value = self.old.get(word)
         return self.put(word, self.make(word) if value is None else value)
 
     def put(self, word: str, value: Any) -> Any:
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[word] = value
+        if len(word) <= self.longest:
+            if self.used >= self.room:
+                self.old, self.used = dict(self), 0
+                self.clear()
+            self[word] = value
+            self.used += self.ENTRY + len(word) + (len(value) if isinstance(value, bytes) else 0)
         return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.used = {}, 0

@@ -105,7 +105,7 @@ class WordTokens:
     its special tokens.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, room: int = 32 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -119,8 +119,13 @@ class WordTokens:
         letters = _byte_letters()
         self.inner = np.asarray([vocab[c] for c in letters], dtype=np.int32)
         self.last = np.asarray([vocab[c + "</w>"] for c in letters], dtype=np.int32)
-        self.memo = Memo(self._by_library, limit)
-        self.other = Memo(self._by_library, limit // 8)
+        self.memo = Memo(self._by_library, room)
+        self.other = Memo(self._by_library, room // 8)
+
+    def forget(self) -> None:
+        """Drop the remembered words."""
+        self.memo.forget()
+        self.other.forget()
 
     def _by_library(self, word: str) -> bytes:
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -236,18 +241,21 @@ def pack(
             names = [f.split()[0] for f in PIECES.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in data], names=names)
 
-        for batch in batches:
-            for keys, texts in _text_groups(batch):
-                for key, ids in zip(keys, encoder.encode(texts)):
-                    ids += end
-                    total = len(ids) // 4
-                    for start in range(0, total, window):
-                        piece = ids[4 * start : 4 * (start + window)]
-                        rows.append((key, start, len(piece) // 4, zlib.crc32(piece), total))
-                    if len(rows) >= group:
-                        yield packed()
-        if rows:
-            yield packed()
+        try:
+            for batch in batches:
+                for keys, texts in _text_groups(batch):
+                    for key, ids in zip(keys, encoder.encode(texts)):
+                        ids += end
+                        total = len(ids) // 4
+                        for start in range(0, total, window):
+                            piece = ids[4 * start : 4 * (start + window)]
+                            rows.append((key, start, len(piece) // 4, zlib.crc32(piece), total))
+                        if len(rows) >= group:
+                            yield packed()
+            if rows:
+                yield packed()
+        finally:
+            encoder.forget()
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"))
     return chosen.mapInArrow(work, PIECES)

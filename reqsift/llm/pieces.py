@@ -6,10 +6,15 @@ So each prefix has one last token: of the tokens that an automaton finds to end
 there, the one that is compatible with the last token of the prefix before it.
 One pass stores these tokens and the ids are read off backwards, in time linear
 in the text.
+
+Whether a pair is compatible shows along its seam: while the two tokens are merged up,
+each in its own order, no merge across the seam may have a better score than the next
+merge on either side.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,6 +28,9 @@ from reqsift.llm.common import Memo, per_process, whole_text
 BLANK = "▁"
 NORMAL, BYTE = 1, 6
 
+#: Pairs of tokens that an encoder remembers from task to task.
+PAIRS = 300_000
+
 
 class PieceEncoder:
     """Encodes with a BPE model of byte fallback, no normalisation and a leading blank.
@@ -31,8 +39,7 @@ class PieceEncoder:
     cut there, and at line ends, and equal words are encoded once while remembered.
     """
 
-    def __init__(self, path: str, limit: int = 120_000):
-        import ahocorasick
+    def __init__(self, path: str, room: int = 32 << 20):
         from sentencepiece import sentencepiece_model_pb2 as formats
 
         model = formats.ModelProto()
@@ -55,13 +62,23 @@ class PieceEncoder:
         self.length = {i: len(p) for p, i in normal.items()}
         self.ids = normal
         self.begin, self.end = model.trainer_spec.bos_id, model.trainer_spec.eos_id
-        self.automaton = ahocorasick.Automaton()
-        for piece, i in normal.items():
-            self.automaton.add_word(piece, (i, len(piece)))
-        self.automaton.make_automaton()
-        self.compatible: dict[int, bool] = Memo(self._compatible, 200_000)
-        self.after_blank = Memo(lambda w: self._packed(BLANK + w), limit)
-        self.plain = Memo(self._packed, limit // 4)
+        self.prefixes = {p[:k] for p in normal for k in range(len(p) + 1)}
+        self.states: dict[str, tuple] = {}
+        self.root = self._state("")
+        self.seams: dict[int, tuple] = {}
+        # Per token: which tokens before it (-1 for none) it is compatible with.
+        self.compatible: list[dict[int, bool]] = [{} for _ in model.pieces]
+        self.pairs = 0
+        self.after_blank = Memo(lambda w: self._packed(BLANK + w), room)
+        self.plain = Memo(self._packed, room // 4)
+
+    def forget(self) -> None:
+        """Drop remembered words, and remembered pairs where they are many."""
+        self.after_blank.forget()
+        self.plain.forget()
+        if self.pairs > PAIRS:
+            self.compatible = [{} for _ in self.compatible]
+            self.pairs = 0
 
     def merged(self, text: str) -> list[str]:
         """Merge by definition: the best-scored pair first, of equals the leftmost."""
@@ -74,21 +91,85 @@ class PieceEncoder:
             i = next(i for i, p in enumerate(pairs) if self.scores.get(p) == best)
             symbols[i : i + 2] = [pairs[i]]
 
-    def _compatible(self, pair: int) -> bool:
-        before, piece = self.pieces.get((pair >> 32) - 1), self.pieces[pair & 0xFFFFFFFF]
-        return self.merged((before or "") + piece) == ([before] if before else []) + [piece]
+    def _seams(self, piece: str) -> tuple[bool, list, list]:
+        """Whether a piece is merged to itself, and its last and first symbols while that goes
+        on, each with the score of the merge that replaces it (none for the whole piece)."""
+        symbols, last, first, level = list(piece), [], [], math.inf
+        while len(symbols) > 1:
+            pairs = [self.scores.get(a + b, -math.inf) for a, b in zip(symbols, symbols[1:])]
+            best = max(pairs)
+            if best == -math.inf:
+                return False, [], []
+            if best > level:
+                raise ValueError("a merge has a better score than one before it: " + piece)
+            i, level = pairs.index(best), best
+            if i == 0:
+                first.append((symbols[0], best))
+            if i == len(pairs) - 1:
+                last.append((symbols[-1], best))
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+        return True, [*last, (piece, -math.inf)], [*first, (piece, -math.inf)]
+
+    def _seam(self, piece: int) -> tuple[bool, list, list]:
+        if piece not in self.seams:
+            self.seams[piece] = self._seams(self.pieces[piece])
+        return self.seams[piece]
+
+    def is_compatible(self, before: int, piece: int) -> bool:
+        """Whether the joined string of two tokens is merged to just these two."""
+        whole, _, right = self._seam(piece)
+        if not whole or before < 0:
+            return whole
+        left = self._seam(before)[1]
+        scores, i, j = self.scores, 0, 0
+        while True:
+            (a, up), (b, other) = left[i], right[j]
+            across = scores.get(a + b)
+            # Of equal scores the leftmost is merged first.
+            if across is not None and across > up and across >= other:
+                return False
+            if up >= other:
+                if up == -math.inf:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def _state(self, suffix: str) -> tuple[dict, list, str]:
+        """The automaton's state for the longest suffix read that begins a token: the states
+        that follow it as far as they are known, and the tokens that end there, longest first."""
+        if suffix not in self.states:
+            ends = [suffix[k:] for k in range(len(suffix)) if suffix[k:] in self.ids]
+            self.states[suffix] = ({}, [(self.ids[p], len(p)) for p in ends], suffix)
+        return self.states[suffix]
+
+    def _step(self, state: tuple, char: str) -> tuple:
+        text = state[2] + char
+        while text not in self.prefixes:
+            text = text[1:]
+        # Characters outside the model all lead to the root and are not remembered.
+        if text:
+            state[0][char] = self._state(text)
+        return self._state(text)
 
     def encode_part(self, text: str) -> list[int]:
         """Ids of a text whose blanks are written as stand-ins; nothing is added."""
         last = [-1] * (len(text) + 1)
         compatible = self.compatible
-        for at, (piece, length) in self.automaton.iter(text):
-            end = at + 1
-            if last[end] < 0:
+        state, end = self.root, 0
+        for char in text:
+            end += 1
+            state = state[0].get(char) or self._step(state, char)
+            for piece, length in state[1]:
                 # -1 at the start, and after a character outside the model: no neighbour
                 before = last[end - length]
-                if compatible[(before + 1) << 32 | piece]:
+                good = compatible[piece].get(before)
+                if good is None:
+                    good = compatible[piece][before] = self.is_compatible(before, piece)
+                    self.pairs += 1
+                if good:
                     last[end] = piece
+                    break
         ids, end = [], len(text)
         while end:
             piece = last[end]
@@ -151,19 +232,22 @@ def encode(docs: DataFrame, model: str, ends: bool = True, decoded: bool = False
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_process(("pieces", model), lambda: PieceEncoder(model))
         back = _decoder(model) if decoded else None
-        for batch in batches:
-            rows, held = [], 0
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                text = text.as_py()
-                ids = encoder.encode(text, ends)
-                again = (back.decode(np.frombuffer(ids, "<u4").tolist()),) if decoded else ()
-                rows.append((doc_id.as_py(), ids, *again))
-                held += len(text)
-                if held > _GROUP:
+        try:
+            for batch in batches:
+                rows, held = [], 0
+                for doc_id, text in zip(batch.column(0), batch.column(1)):
+                    text = text.as_py()
+                    ids = encoder.encode(text, ends)
+                    again = (back.decode(np.frombuffer(ids, "<u4").tolist()),) if decoded else ()
+                    rows.append((doc_id.as_py(), ids, *again))
+                    held += len(text)
+                    if held > _GROUP:
+                        yield _batch(rows)
+                        rows, held = [], 0
+                if rows:
                     yield _batch(rows)
-                    rows, held = [], 0
-            if rows:
-                yield _batch(rows)
+        finally:
+            encoder.forget()
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"))
     return chosen.mapInArrow(work, schema)

@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reqsift.llm.common import WORD, Memo, per_process, whole_text
+from reqsift.llm.common import WORD, Memo, whole_text
 
 #: The patterns, in the order of their kinds.
 KINDS = ("assign", "access", "hex", "crf")
@@ -180,7 +180,7 @@ class Scanner:
         self._forget()
 
     def _forget(self) -> None:
-        self.ids = Memo(self._number, self.limit)
+        self.ids = Memo(self._number)
         self.rows: dict[tuple[str, ...], int] = {}
         self.table = np.zeros((1024, len(_ROLES), 3))
 
@@ -365,26 +365,22 @@ def _expected(scores: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.exp(ahead + behind - total[:, None, None]), pairs
 
 
-def _scanner(model: Model | None, token: str) -> Scanner:
-    return per_process(("secrets", token), lambda: Scanner(model))
-
-
 def spans(text: Column, model: Model | None) -> Column:
     """``SPANS`` of a text column in code points, by start and then kind as in ``KINDS``.
 
     A null or empty text has none.  Rows are independent, so repeated rows, null ids and
     other columns do not matter.
     """
-    token = f"{id(model)}-{np.random.default_rng().integers(2**62)}"
+    kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     @F.arrow_udf(SPANS)
-    def find(texts: pa.Array) -> pa.Array:
-        scanner = _scanner(model, token)
-        rows = [
-            [{"kind": k, "start": a, "end": b} for k, a, b in scanner.spans(t.as_py())] for t in texts
-        ]
-        kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-        return pa.array(rows, pa.list_(kind))
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scanner = Scanner(model)
+        for texts in batches:
+            rows = [
+                [{"kind": k, "start": a, "end": b} for k, a, b in scanner.spans(t.as_py())] for t in texts
+            ]
+            yield pa.array(rows, pa.list_(kind))
 
     return find(whole_text(text))
 

@@ -11,7 +11,7 @@ from hypothesis import given, settings, strategies as st
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from reqsift.llm import packing, pieces
+from reqsift.llm import common, packing, pieces
 from reqsift.llm.queries import PIECE_MODEL, WORD_TOKENIZER
 
 ODD = [
@@ -55,9 +55,38 @@ def test_pieces_equal_the_library_on_strings_of_pieces(encoder, library):
 
 
 def test_forgetting_changes_nothing(library):
-    small = pieces.PieceEncoder(PIECE_MODEL, limit=4)
+    small = pieces.PieceEncoder(PIECE_MODEL, room=1000)
     for text in ["the same words and the same words again", "and others the words"] * 3:
         assert np.frombuffer(small.encode(text, ends=False), "<u4").tolist() == library.encode(text)
+        small.forget()
+
+
+def test_pairs_by_their_seam_equal_merging(encoder):
+    rng, known = random.Random(7), sorted(encoder.pieces)
+    short = [i for i in known if encoder.length[i] <= 3]
+    for _ in range(4000):
+        one, two = (rng.choice(short if rng.random() < 0.5 else known) for _ in range(2))
+        names = [encoder.pieces[one], encoder.pieces[two]]
+        assert encoder.is_compatible(one, two) == (encoder.merged("".join(names)) == names)
+        assert encoder.is_compatible(-1, two) == (encoder.merged(names[1]) == names[1:])
+
+
+def test_remembered_words_are_bounded_in_bytes():
+    import tracemalloc
+
+    tracemalloc.start()
+    memo = common.Memo(lambda w: w.encode() * 4, room=1 << 20)
+    rng = random.Random(2)
+    for _ in range(60):
+        word = "x" * rng.randint(50_000, 200_000)
+        assert memo[word] == word.encode() * 4 and word not in memo
+    for n in range(30_000):
+        assert memo[f"word{n}"] == f"word{n}".encode() * 4
+    # two generations of a megabyte, and what the estimate misses
+    assert tracemalloc.get_traced_memory()[0] < 4 << 20
+    memo.forget()
+    assert not memo and not memo.old
+    tracemalloc.stop()
 
 
 def test_encode_and_decode_rows(spark, docs, library):
