@@ -74,6 +74,20 @@ def per_process(key: tuple, make: Callable[[], Any], most: int = 2) -> Any:
     return value
 
 
+def give_back() -> None:
+    """Hand memory that a task no longer needs back to the system, as its worker lives on."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Memo(dict):
     """A memory of ``make(word)``, bounded in bytes; old entries fall out in two generations.
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reqsift.llm.common import WORD, Memo, ascii_lower, whole_text
+from reqsift.llm.common import WORD, Memo, ascii_lower, give_back, whole_text
 from reqsift.operators.components import connected_components
 from reqsift.workspace import materialize
 
@@ -131,6 +131,8 @@ def _described(docs: DataFrame, size: int) -> DataFrame:
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64()]
             arrays = [pa.array(c, k) for c, k in zip(columns.values(), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *columns])
+        del shingler
+        give_back()
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"))
     return chosen.mapInArrow(work, "doc_id long, n long, cls binary, sig binary, bits long")
@@ -228,6 +230,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "shingles"]
             )
+        del shingler
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("first_id"), whole_text(F.col("text")).alias("text"))
     rows = rows.join(wanted, F.col("first_id").eqNullSafe(F.col("want_id"))).select("text", "cls", "cid")
@@ -291,6 +295,8 @@ def _exhaustive(percent: int):
                 found = []
         if found := _joining(held, percent):
             yield _pair_batch(found)
+        held.clear()
+        give_back()
 
     return work
 

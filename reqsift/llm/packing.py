@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from reqsift.llm.common import Memo, per_process, whole_text
+from reqsift.llm.common import Memo, give_back, per_process, whole_text
 from reqsift.llm.merging import MergeTable
 
 WINDOW = 4096
@@ -256,6 +256,8 @@ def pack(
                 yield packed()
         finally:
             encoder.forget()
+            rows.clear()
+            give_back()
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"))
     return chosen.mapInArrow(work, PIECES)

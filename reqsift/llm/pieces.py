@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reqsift.llm.common import Memo, per_process, whole_text
+from reqsift.llm.common import Memo, give_back, per_process, whole_text
 
 #: Fixed values of the file format: the blank's stand-in and the kinds of pieces.
 BLANK = "▁"
@@ -248,6 +248,7 @@ def encode(docs: DataFrame, model: str, ends: bool = True, decoded: bool = False
                     yield _batch(rows)
         finally:
             encoder.forget()
+            give_back()
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"))
     return chosen.mapInArrow(work, schema)

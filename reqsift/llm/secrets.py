@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reqsift.llm.common import WORD, Memo, whole_text
+from reqsift.llm.common import WORD, Memo, give_back, whole_text
 
 #: The patterns, in the order of their kinds.
 KINDS = ("assign", "access", "hex", "crf")
@@ -376,11 +376,15 @@ def spans(text: Column, model: Model | None) -> Column:
     @F.arrow_udf(SPANS)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = Scanner(model)
-        for texts in batches:
-            rows = [
-                [{"kind": k, "start": a, "end": b} for k, a, b in scanner.spans(t.as_py())] for t in texts
-            ]
-            yield pa.array(rows, pa.list_(kind))
+        try:
+            for texts in batches:
+                rows = [
+                    [{"kind": k, "start": a, "end": b} for k, a, b in scanner.spans(t.as_py())] for t in texts
+                ]
+                yield pa.array(rows, pa.list_(kind))
+        finally:
+            del scanner
+            give_back()
 
     return find(whole_text(text))
 

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from reqsift.llm.common import whole_text
+from reqsift.llm.common import give_back, whole_text
 from reqsift.workspace import materialize
 
 #: Distinct runs of one gram that are sorted together, and bytes sorted in one go.
@@ -386,6 +386,8 @@ def _sorted_repeats(parts: DataFrame, length: int) -> DataFrame:
                 size += len(row[3])
         if held:
             yield found(held)
+        del held
+        give_back()
 
     grouped = parts.repartition("gram").sortWithinPartitions("gram")
     return grouped.mapInArrow(work, "gram long, run long, first int, last int")

@@ -102,7 +102,7 @@ def test_encode_and_decode_rows(spark, docs, library):
 
 
 def test_word_tokens_equal_the_library():
-    words, whole = packing.WordTokens(WORD_TOKENIZER, limit=50), Tokenizer.from_file(WORD_TOKENIZER)
+    words, whole = packing.WordTokens(WORD_TOKENIZER, room=10_000), Tokenizer.from_file(WORD_TOKENIZER)
     rng = random.Random(3)
     letters = "abcdeéßñ .,'\n12#*|Œ<日"
     texts = ODD + ["".join(rng.choices(letters, k=rng.randint(0, 80))) for _ in range(600)] + ["x" * 500]
