@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from reqsift.workspace import materialize
 
+#: Rows of members and links that a group of small components is to have.
+GROUP_ROWS = 2_000
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node points to the smallest node around it."""
@@ -37,8 +40,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     """``(project, node, component)`` for undirected ``(project, src, dst)`` links.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): the
-    number of links never grows and rounds are about logarithmic.
+    number of links never grows and rounds are about logarithmic.  A round that leaves
+    the number of links and two digests of them as they were has changed nothing.
     """
+    def state(links: DataFrame) -> tuple:
+        row = ["project", "src", "dst"]
+        return tuple(links.agg(
+            F.count("*"), F.bit_xor(F.xxhash64(*row)), F.bit_xor(F.xxhash64(F.lit(1), *row))
+        ).first())
+
     current = materialize(
         links.select(
             "project", F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
@@ -46,12 +56,13 @@ def connected_components(links: DataFrame) -> DataFrame:
         .filter(F.col("src") != F.col("dst"))
         .distinct()
     )
+    before = state(current)
     while True:
         after = materialize(_small_star(_large_star(current)))
-        settled = after.join(current, ["project", "src", "dst"], "left_anti").isEmpty()
-        if settled and after.count() == current.count():
+        now = state(after)
+        if now == before:
             break
-        current = after
+        current, before = after, now
     return (
         after.select("project", F.col("src").alias("node"), F.col("dst").alias("component"))
         .unionByName(
@@ -61,41 +72,62 @@ def connected_components(links: DataFrame) -> DataFrame:
     )
 
 
+def joined_components(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``labels(project, node, component)`` after adding links ``(project, src, dst)``, and
+    ``(project, component)`` of the components that the new links touch.
+
+    Only the components that the links join are labelled anew, as nodes of a small graph.
+    """
+    own = {k: labels.toDF("project", k, f"{k}_label") for k in ("src", "dst")}
+    named = materialize(
+        links.select("project", "src", "dst").distinct()
+        .join(own["src"], ["project", "src"], "left")
+        .join(own["dst"], ["project", "dst"], "left")
+        .select(
+            "project", "src", "dst",
+            F.coalesce("src_label", "src").alias("a"), F.coalesce("dst_label", "dst").alias("b"),
+        )
+    )
+    met = connected_components(named.select("project", F.col("a").alias("src"), F.col("b").alias("dst")))
+    moved = materialize(met.toDF("project", "component", "_into"))
+    into = F.coalesce("_into", "component")
+    fresh = named.select("project", F.col("src").alias("node"), F.col("a").alias("component")).unionByName(
+        named.select("project", F.col("dst").alias("node"), F.col("b").alias("component"))
+    )
+    every = labels.unionByName(fresh).distinct().join(moved, ["project", "component"], "left")
+    touched = named.select("project", F.col("a").alias("component")).distinct()
+    touched = touched.join(moved, ["project", "component"], "left")
+    return (
+        materialize(every.select("project", "node", into.alias("component"))),
+        materialize(touched.select("project", into.alias("component")).distinct()),
+    )
+
+
 def bounded_groups(
-    members: DataFrame, links: DataFrame, limit: int
+    members: DataFrame, links: DataFrame, limit: int, labels: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, bool]:
     """Add ``grp`` to members ``(project, node, …)`` and links ``(project, src, dst, …)``.
 
-    Rows of a project whose members and links number at most ``limit`` form one
-    group.  A larger project is cut into connected components.  ``grp`` is null
-    where even a component is larger; the last result tells whether that occurs.
+    A group holds whole connected components of one project, as many as make up about
+    ``GROUP_ROWS`` rows.  ``grp`` is null for components of more than ``limit`` rows; the
+    last result tells whether there are any.  ``labels(project, node, component)`` may be
+    given where they are known.
     """
-    def sized(m: DataFrame, l: DataFrame, by: list[str]) -> DataFrame:
-        return m.select(*by).unionByName(l.select(*by)).groupBy(*by).agg(F.count("*").alias("_rows"))
-
-    large = sized(members, links, ["project"]).filter(F.col("_rows") > limit).select("project")
-    if large.isEmpty():
-        whole = F.lit(0).cast("long")
-        return members.withColumn("grp", whole), links.withColumn("grp", whole), False
-
-    large = materialize(large)
-    labels = materialize(connected_components(links.join(large, "project", "left_semi")))
-    large = large.withColumn("_large", F.lit(True))
-    by_src = labels.toDF("project", "src", "grp")
-    by_node = labels.toDF("project", "node", "grp")
-    members = members.join(by_node, ["project", "node"], "left").join(large, "project", "left")
-    links = links.join(by_src, ["project", "src"], "left").join(large, "project", "left")
-    own = F.when(F.col("_large"), F.col("grp")).otherwise(F.lit(0))
-    members, links = members.withColumn("grp", own), links.withColumn("grp", own)
-    over = materialize(
-        sized(members.filter("_large"), links.filter("_large"), ["project", "grp"])
-        .filter(F.col("_rows") > limit)
-        .select("project", "grp", F.lit(True).alias("_over"))
+    if labels is None:
+        labels = materialize(connected_components(links))
+    members = members.join(labels, ["project", "node"], "left")
+    members = members.withColumn("component", F.coalesce("component", "node"))
+    links = links.join(labels.toDF("project", "src", "component"), ["project", "src"])
+    sizes = materialize(
+        members.select("project", "component").unionByName(links.select("project", "component"))
+        .groupBy("project", "component").agg(F.count("*").alias("_rows"))
     )
+    over = sizes.filter(F.col("_rows") > limit).select("project", "component", F.lit(True).alias("_over"))
+    counts = sizes.groupBy("project").agg(F.ceil(F.sum("_rows") / GROUP_ROWS).cast("int").alias("_groups"))
 
-    def mark(df: DataFrame) -> DataFrame:
-        marked = df.join(over, ["project", "grp"], "left")
-        bounded = F.when(F.col("_over").isNull(), F.col("grp"))
-        return marked.withColumn("grp", bounded).drop("_over", "_large")
+    def dealt(df: DataFrame) -> DataFrame:
+        group = F.pmod(F.xxhash64("component"), F.col("_groups")).cast("long")
+        marked = df.join(counts, "project").join(over, ["project", "component"], "left")
+        return marked.withColumn("grp", F.when(F.col("_over").isNull(), group)).drop("_over", "_groups", "component")
 
-    return mark(members), mark(links), not over.isEmpty()
+    return dealt(members), dealt(links), not over.isEmpty()

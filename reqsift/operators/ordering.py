@@ -41,6 +41,37 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name:
     )
 
 
+def running_max(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str
+) -> DataFrame:
+    """Add ``name``: the largest ``value`` up to a row within ``group`` in the order of ``order``.
+
+    Range-partitioned as in ``number_rows``: each partition takes its own largest so far
+    and the largest of the partitions before it.
+    """
+    placed = materialize(
+        df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id())
+    )
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    before = (
+        placed.groupBy(*group, "_part")
+        .agg(F.max(value).alias("_most"))
+        .withColumn("_before", F.max("_most").over(earlier))
+        .drop("_most")
+    )
+    within = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    return (
+        placed.withColumn("_own", F.max(value).over(within))
+        .join(before, [*group, "_part"])
+        .withColumn(name, F.greatest("_own", "_before"))
+        .drop("_part", "_own", "_before")
+    )
+
+
 def record_id(project: Column, number: Column) -> Column:
     """``PROJECT-001``; wider than three digits from 1000 on."""
     return F.format_string("%s-%03d", F.upper(project), number)
