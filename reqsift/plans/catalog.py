@@ -38,7 +38,7 @@ from reqsift.operators.metrics import (
     text_volume,
 )
 from reqsift.operators.ordering import assign_ids
-from reqsift.operators.scoring import join_responses, select_demos
+from reqsift.operators.scoring import find_demos, join_responses
 from reqsift.operators.simjoin import similar_pairs
 from reqsift.operators.training import classify, train_classifier
 from reqsift.plans.flows import evaluate, extract, extract_and_deliver, finalise, open_candidates
@@ -426,8 +426,12 @@ def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def demo_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _rule_scored(spark, sf_dir)
-    return select_demos(scored, order="doc_id", per_label=True).select("doc_id", "label")
+    def rule(row: dict) -> dict:
+        return {"predicted": " YES " if row["n_chars"] > 1000 else "no"}
+
+    examples = _labelled(spark, sf_dir).select("doc_id", "n_chars", "label")
+    found = find_demos(examples, rule, ["n_chars"], order="doc_id", per_label=True)
+    return found.select("doc_id", "label")
 
 
 def trained(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -355,3 +355,55 @@ def test_batches_are_scored_together(spark):
     assert [r.place for r in rows if r.error is None] == [0, 1, 2, 3, 4] * 3
     assert [r.id for r in rows if r.error == "bad batch"] == [10, 11, 12, 13, 14]
     assert scoring.score_batches(spark.range(9), fn, ["id"], {"place": "bigint"}, partitions=3).count() == 9
+
+
+def _counted(folder):
+    """A scorer that leaves a file for every call."""
+
+    def scorer(row):
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        if row["text"] == "bad":
+            raise RuntimeError("no answer")
+        return {"predicted": "yes" if len(row["text"] or "") % 2 else "no"}
+
+    return scorer
+
+
+def test_a_second_run_asks_nothing(spark, stored):
+    import os
+    import tempfile
+
+    calls, ledger = tempfile.mkdtemp(prefix="spark-test-"), tempfile.mkdtemp(prefix="spark-test-") + "/answers"
+    texts = ["a", "bb", "a", "", None, "bad"]
+    rows = stored(list(enumerate(texts)), "id long, text string")
+    ask = lambda df: sorted(
+        (r.id, r.predicted, r.error)
+        for r in scoring.score_once(df, _counted(calls), ["text"], {"predicted": "string"}, ledger, tries=2).collect()
+    )
+    # A run that broke off after two rows, then the whole, then once more.
+    assert ask(rows.filter("id < 2")) == [(0, "yes", None), (1, "no", None)]
+    assert len(os.listdir(calls)) == 2
+    want = [(0, "yes", None), (1, "no", None), (2, "yes", None), (3, "no", None), (4, "no", None), (5, None, "no answer")]
+    assert ask(rows) == want
+    # the blank, the null, and twice what fails
+    assert len(os.listdir(calls)) == 6
+    assert ask(rows) == want
+    assert len(os.listdir(calls)) == 6
+
+
+def test_demos_are_found_without_scoring_all(spark, stored):
+    import os
+    import tempfile
+
+    calls = tempfile.mkdtemp(prefix="spark-test-")
+    texts = [(n, "x" * (n % 7), "yes" if n % 3 else "no") for n in range(400)]
+    examples = stored(texts, "example_order long, text string, label string")
+    scored = scoring.score_rows(examples, _counted(calls), ["text"], {"predicted": "string"})
+    for each in (False, True):
+        want = {tuple(r) for r in scoring.select_demos(scored, 5, per_label=each).select("example_order", "label").collect()}
+        before = len(os.listdir(calls))
+        got = scoring.find_demos(examples, _counted(calls), ["text"], 5, per_label=each, first_block=4)
+        assert {tuple(r) for r in got.select("example_order", "label").collect()} == want
+        assert 0 < len(os.listdir(calls)) - before < 60
