@@ -72,6 +72,37 @@ def running_max(
     )
 
 
+def running_sum(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str
+) -> DataFrame:
+    """Add ``name``: the sum of ``value`` up to and with a row within ``group`` in the order of ``order``.
+
+    Range-partitioned as in ``number_rows``: each partition adds its own rows to the sum of
+    the partitions before it.
+    """
+    placed = materialize(
+        df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id())
+    )
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    before = (
+        placed.groupBy(*group, "_part")
+        .agg(F.sum(value).alias("_sum"))
+        .withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+        .drop("_sum")
+    )
+    within = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    return (
+        placed.withColumn("_own", F.sum(value).over(within))
+        .join(before, [*group, "_part"])
+        .withColumn(name, F.col("_own") + F.col("_before"))
+        .drop("_part", "_own", "_before")
+    )
+
+
 def record_id(project: Column, number: Column) -> Column:
     """``PROJECT-001``; wider than three digits from 1000 on."""
     return F.format_string("%s-%03d", F.upper(project), number)

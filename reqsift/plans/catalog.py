@@ -40,7 +40,7 @@ from reqsift.operators.metrics import (
 from reqsift.operators.ordering import assign_ids
 from reqsift.operators.scoring import find_demos, join_responses
 from reqsift.operators.simjoin import similar_pairs
-from reqsift.operators.training import classify, train_classifier
+from reqsift.operators.training import TrainedClassifier, classify, train_bayes, train_classifier
 from reqsift.plans.flows import evaluate, extract, extract_and_deliver, finalise, open_candidates
 from reqsift.sources.readers import (
     labelled_examples,
@@ -53,6 +53,7 @@ from reqsift.sources.readers import (
 )
 from reqsift.sources.sinks import (
     deliver,
+    delivery_payloads,
     enriched_documents,
     project_outcomes,
     report_documents,
@@ -73,6 +74,8 @@ PHRASES = [*NOISE_PHRASES, "license", "all rights reserved"]
 VERDICT_MODULUS = 251
 # A part size small enough that saved projects have several parts.
 PART_ROWS = 20
+# A payload size that some records alone exceed.
+PART_BYTES = 8192
 # A fixed time instead of that of the run.
 MOMENT = "2024-05-06 07:08:09.123456"
 
@@ -676,6 +679,33 @@ def extract_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def extract_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction with a classifier that was fitted on the labelled documents."""
+    model = train_bayes(materialize(_labelled(spark, sf_dir).select("text", "label")))
+    found = extract(
+        document_pages(spark, sf_dir), first_line_extractor, TrainedClassifier(model), separator=LINE, phrases=PHRASES
+    )
+    return found.candidates.select(
+        "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "cand_order", "title", "status", "reason"
+    )
+
+
+def extract_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction that finds the answers for a third of its documents in a ledger."""
+    ledger = f"{folder(spark)}/{uuid.uuid4().hex}"
+    pages = document_pages(spark, sf_dir)
+
+    def run(part: DataFrame) -> DataFrame:
+        return extract(
+            part, first_line_extractor, length_classifier, separator=LINE, phrases=PHRASES, ledger=ledger
+        ).candidates
+
+    run(pages.filter(F.col("doc_id") % 3 == 0))
+    return run(pages).select(
+        "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "cand_order", "title", "status"
+    )
+
+
 def context_enricher(row: dict) -> dict:
     if len(row["title"]) % 9 == 0:
         raise ValueError("no answer")
@@ -730,6 +760,28 @@ def extract_deliver_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def flow_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every stage of a run, counted while it writes its tables."""
+    pages = document_pages(spark, sf_dir)
+    found = extract(pages, end_lines_extractor, length_classifier, separator=LINE, phrases=PHRASES)
+    done = finalise(found.accepted, pages, context_enricher, "recorded", counts=found.counts)
+    return done.counts.table(spark)
+
+
+def parts_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a project in parts whose payload is bounded in bytes."""
+    numbered = assign_ids(records(spark, sf_dir, F.col("source")))
+    parts = delivery_payloads(requirement_documents(numbered, part_bytes=PART_BYTES))
+    items = F.from_json("payload", "array<struct<requirement_id string>>")
+    return parts.select(
+        "project",
+        "part",
+        F.octet_length("payload").cast("long").alias("bytes"),
+        F.size(items).cast("long").alias("records"),
+        F.element_at(items, 1)["requirement_id"].alias("first_id"),
+    )
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "chunk_documents": chunk_documents,
@@ -773,4 +825,8 @@ def all_queries() -> dict[str, Query]:
         "candidate_defaults": candidate_defaults,
         "evaluate_flow": evaluate_flow,
         "extract_deliver_flow": extract_deliver_flow,
+        "extract_trained": extract_trained,
+        "extract_resumed": extract_resumed,
+        "flow_stage_counts": flow_stage_counts,
+        "parts_by_bytes": parts_by_bytes,
     }

@@ -315,6 +315,45 @@ sent AS (
 """
 
 
+# Candidates of the extraction from first and last lines, those kept (recs) and the survivors.
+EXTRACTED = f"""WITH RECURSIVE {CHUNKS},
+ends AS (
+  SELECT doc_id AS source_id, chunk_no, ls, n FROM (
+    SELECT doc_id, chunk_no, string_split(regexp_replace(regexp_replace(text, '^\n+', ''), '\n+$', ''), chr(10)) AS ls
+    FROM chunks WHERE NOT too_short
+  ), LATERAL (SELECT len(ls) AS n)
+),
+found AS (
+  SELECT source_id, chunk_no, 0 AS pos, ls[1] AS line FROM ends
+  UNION ALL SELECT source_id, chunk_no, 1, ls[n] FROM ends WHERE n > 1
+),
+numbered AS MATERIALIZED (
+  SELECT source_id, row_number() OVER (ORDER BY source_id, chunk_no, pos) AS doc_id,
+    {_title('line')} AS title, {_rest('line')} AS description
+  FROM found
+),
+recs AS MATERIALIZED (
+  SELECT * FROM numbered
+  WHERE NOT {_noise("title || ' ' || description")} AND length(description) % 3 <> 0
+)""" + SURVIVORS.removeprefix(RECORDS) + """,
+"""
+
+
+# Candidates of the extraction from whole chunks.
+FIRST_LINES = f"""
+WITH RECURSIVE {CHUNKS},
+found AS (
+  SELECT doc_id, chunk_no, {_title('text')} AS title, {_rest('text')} AS description
+  FROM chunks WHERE NOT too_short
+)"""
+
+EXTRACT_FLOW = FIRST_LINES + f"""
+SELECT doc_id, chunk_no, row_number() OVER (ORDER BY doc_id, chunk_no) AS cand_order, title,
+  CASE WHEN {_noise("title || ' ' || description")} THEN 'noise'
+       WHEN length(description) % 3 <> 0 THEN 'accepted' ELSE 'rejected' END AS status
+FROM found"""
+
+
 def all_oracles() -> dict[str, str]:
     greedy, hybrid = "WITH RECURSIVE " + _matching(False), "WITH RECURSIVE " + _matching(True)
     match = """
@@ -492,27 +531,7 @@ FROM quality WHERE project IN ('en', 'fr')
 UNION ALL
 SELECT project, section, position, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, item_id
 FROM items WHERE project IN ('en', 'fr')""",
-        "extract_deliver_flow": f"""
-WITH RECURSIVE {CHUNKS},
-ends AS (
-  SELECT doc_id AS source_id, chunk_no, ls, n FROM (
-    SELECT doc_id, chunk_no, string_split(regexp_replace(regexp_replace(text, '^\n+', ''), '\n+$', ''), chr(10)) AS ls
-    FROM chunks WHERE NOT too_short
-  ), LATERAL (SELECT len(ls) AS n)
-),
-found AS (
-  SELECT source_id, chunk_no, 0 AS pos, ls[1] AS line FROM ends
-  UNION ALL SELECT source_id, chunk_no, 1, ls[n] FROM ends WHERE n > 1
-),
-numbered AS MATERIALIZED (
-  SELECT source_id, row_number() OVER (ORDER BY source_id, chunk_no, pos) AS doc_id,
-    {_title('line')} AS title, {_rest('line')} AS description
-  FROM found
-),
-recs AS MATERIALIZED (
-  SELECT * FROM numbered
-  WHERE NOT {_noise("title || ' ' || description")} AND length(description) % 3 <> 0
-)""" + SURVIVORS.removeprefix(RECORDS) + """,
+        "extract_deliver_flow": EXTRACTED + """
 final AS (
   SELECT source_id, r.doc_id, title, row_number() OVER (ORDER BY r.doc_id) AS n FROM kept JOIN recs r USING (doc_id)
 )
@@ -558,16 +577,66 @@ WHERE item_id + 1 > 2 AND item_id % 7 <> 0 AND item_id % 5 <> 0 AND item_id % 6
 WITH {RECORDS} SELECT source AS project, upper(source) || '-' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INTEGER, '0') AS requirement_id,
   title, type
 FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM recs)""",
-        "extract_flow": f"""
-WITH RECURSIVE {CHUNKS},
-found AS (
-  SELECT doc_id, chunk_no, {_title('text')} AS title, {_rest('text')} AS description
-  FROM chunks WHERE NOT too_short
-)
+        "extract_flow": EXTRACT_FLOW,
+        "extract_resumed": EXTRACT_FLOW,
+        "extract_trained": FIRST_LINES + f""",
+{LABELLED.strip()},
+examples AS MATERIALIZED (
+  SELECT doc_id, label, unnest({_words('lower(text)')}) AS word FROM scored JOIN documents USING (doc_id)
+),
+counted AS (
+  SELECT word, count(*) FILTER (WHERE label = 'yes') AS yes, count(*) FILTER (WHERE label = 'no') AS no
+  FROM examples GROUP BY 1
+),
+totals AS (SELECT sum(yes) AS yes, sum(no) AS no, count(*) AS words FROM counted),
+weights AS MATERIALIZED (
+  SELECT word, ln((c.yes + 1) / (t.yes + t.words)) - ln((c.no + 1) / (t.no + t.words)) AS weight
+  FROM counted c, totals t
+),
+base AS (
+  SELECT ln(count(*) FILTER (WHERE label = 'yes') + 1) - ln(count(*) FILTER (WHERE label = 'no') + 1) AS start
+  FROM scored
+),
+said AS (
+  SELECT doc_id, chunk_no, unnest({_words("lower(title || ' - ' || description)")}) AS word FROM found
+),
+summed AS (SELECT doc_id, chunk_no, sum(weight) AS weight FROM said JOIN weights USING (word) GROUP BY 1, 2)
 SELECT doc_id, chunk_no, row_number() OVER (ORDER BY doc_id, chunk_no) AS cand_order, title,
   CASE WHEN {_noise("title || ' ' || description")} THEN 'noise'
-       WHEN length(description) % 3 <> 0 THEN 'accepted' ELSE 'rejected' END AS status
-FROM found""",
+       WHEN start + coalesce(weight, 0) > 0 THEN 'accepted' ELSE 'rejected' END AS status,
+  CASE WHEN NOT {_noise("title || ' ' || description")} THEN 'trained classifier' END AS reason
+FROM found LEFT JOIN summed USING (doc_id, chunk_no), base""",
+        "flow_stage_counts": EXTRACTED + """
+counts AS (
+  SELECT (SELECT count(*) FROM documents) AS pages, (SELECT count(*) FROM chunks) AS chunks,
+    (SELECT count(*) FROM chunks WHERE too_short) AS skipped, (SELECT count(*) FROM recs) AS accepted,
+    (SELECT count(*) FROM numbered) - (SELECT count(*) FROM recs) AS filtered,
+    (SELECT count(*) FROM kept) AS "unique",
+    (SELECT count(*) FROM kept JOIN recs USING (doc_id) WHERE length(title) % 9 <> 0) AS enriched,
+    (SELECT count(*) FROM kept JOIN recs USING (doc_id) WHERE length(title) % 9 = 0) AS failed
+)
+UNPIVOT counts ON COLUMNS(*) INTO NAME stage VALUE rows""",
+        "parts_by_bytes": f"""
+WITH {RECORDS},
+named AS (
+  SELECT source AS project, doc_id, title, description, type,
+    upper(source) || '-' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INTEGER, '0') AS requirement_id
+  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM recs)
+),
+sized AS (
+  SELECT *, strlen(to_json(struct_pack(title, description, type, requirement_id))::VARCHAR) + 1 AS size FROM named
+),
+placed AS (
+  SELECT *, ((sum(size) OVER (PARTITION BY project ORDER BY doc_id) - size) // 4095)::BIGINT AS bin, size > 4095 AS long
+  FROM sized
+),
+parts AS (
+  SELECT project, bin, long, (sum(size) + 1)::BIGINT AS bytes, count(*) AS records,
+    arg_min(requirement_id, doc_id) AS first_id
+  FROM placed GROUP BY ALL
+)
+SELECT project, row_number() OVER (PARTITION BY project ORDER BY bin, long) - 1 AS part, bytes, records, first_id
+FROM parts""",
         "finalise_flow": f"""
 WITH RECURSIVE {SURVIVORS},
 numbered AS (
