@@ -45,6 +45,7 @@ from reqsift.plans.flows import evaluate, extract, extract_and_deliver, finalise
 from reqsift.sources.readers import (
     labelled_examples,
     read_enriched,
+    read_page_ranges,
     read_report,
     read_report_rows,
     read_requirements,
@@ -782,6 +783,42 @@ def parts_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def count_lines(file) -> int:
+    """Lines of a file, read in blocks."""
+    found, last = 0, b"\n"
+    while block := file.read(1 << 20):
+        found, last = found + block.count(b"\n"), block[-1:]
+    return found + (last != b"\n")
+
+
+def lines_between(file, first: int, last: int):
+    """Lines ``first`` to ``last`` as pages; lines before them are passed over in blocks."""
+    open_line, no = b"", 1
+    while block := file.read(1 << 20):
+        *whole, open_line = (open_line + block).split(b"\n")
+        for line in whole:
+            if first <= no <= last:
+                yield no, line.decode()
+            no += 1
+        if no > last:
+            return
+    if open_line and first <= no <= last:
+        yield no, open_line.decode()
+
+
+def documents_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts saved as files of a language, read back by ranges of lines: each line and how often
+    it occurs, with the pages found in all."""
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null")
+    texts.select("lang", "text").write.partitionBy("lang").text(path)
+    pages = read_page_ranges(spark, path, count_lines, lines_between, "all", "*.txt", 500)
+    lang = F.regexp_extract("path", "lang=([^/]*)/", 1)
+    return pages.groupBy(lang.alias("lang"), "text").agg(
+        F.count("*").alias("pages"), F.count("error").alias("errors")
+    )
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "chunk_documents": chunk_documents,
@@ -829,4 +866,5 @@ def all_queries() -> dict[str, Query]:
         "extract_resumed": extract_resumed,
         "flow_stage_counts": flow_stage_counts,
         "parts_by_bytes": parts_by_bytes,
+        "documents_from_files": documents_from_files,
     }

@@ -616,6 +616,10 @@ counts AS (
     (SELECT count(*) FROM kept JOIN recs USING (doc_id) WHERE length(title) % 9 = 0) AS failed
 )
 UNPIVOT counts ON COLUMNS(*) INTO NAME stage VALUE rows""",
+        "documents_from_files": """
+SELECT coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS lang, line AS text, count(*) AS pages, 0::BIGINT AS errors
+FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
+GROUP BY 1, 2""",
         "parts_by_bytes": f"""
 WITH {RECORDS},
 named AS (
