@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from reqsift.functions.chunking import chunk_pages
 from reqsift.functions.parsing import candidates, lenient_list
 from reqsift.functions.rules import NOISE_PHRASES, is_noise, status, tier
-from reqsift.functions.text import words
+from reqsift.functions.text import dashed_text, filled_template, words
 from reqsift.operators.dedup import remove_duplicates, word_classes, word_records
 from reqsift.operators.enrich import TIMESTAMP, enriched_records, source_context
 from reqsift.operators.judging import match_with_judge
@@ -77,6 +77,7 @@ VERDICT_MODULUS = 251
 PART_ROWS = 20
 # A payload size that some records alone exceed.
 PART_BYTES = 8192
+PROMPT = "Title: {title}\nText: {description}\nKind: [{type}], {title} again; {other} stays"
 # A fixed time instead of that of the run.
 MOMENT = "2024-05-06 07:08:09.123456"
 
@@ -783,6 +784,21 @@ def parts_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rendered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's question and a classifier's text for every record; some have no type."""
+    found = records(spark, sf_dir)
+    values = {
+        "title": F.col("title"),
+        "description": F.col("description"),
+        "type": F.when(F.col("cand_order") % 4 != 0, F.col("type")),
+    }
+    return found.select(
+        F.col("cand_order").alias("doc_id"),
+        filled_template(PROMPT, values).alias("prompt"),
+        dashed_text(F.col("title"), F.col("description")).alias("shown"),
+    )
+
+
 def count_lines(file) -> int:
     """Lines of a file, read in blocks."""
     found, last = 0, b"\n"
@@ -866,5 +882,6 @@ def all_queries() -> dict[str, Query]:
         "extract_resumed": extract_resumed,
         "flow_stage_counts": flow_stage_counts,
         "parts_by_bytes": parts_by_bytes,
+        "rendered_prompts": rendered_prompts,
         "documents_from_files": documents_from_files,
     }

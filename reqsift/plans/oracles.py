@@ -620,6 +620,12 @@ UNPIVOT counts ON COLUMNS(*) INTO NAME stage VALUE rows""",
 SELECT coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS lang, line AS text, count(*) AS pages, 0::BIGINT AS errors
 FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
 GROUP BY 1, 2""",
+        "rendered_prompts": f"""
+WITH {RECORDS}
+SELECT doc_id, 'Title: ' || title || chr(10) || 'Text: ' || description || chr(10) || 'Kind: ['
+    || CASE WHEN doc_id % 4 <> 0 THEN type ELSE '' END || '], ' || title || ' again; {{other}} stays' AS prompt,
+  title || ' - ' || description AS shown
+FROM recs""",
         "parts_by_bytes": f"""
 WITH {RECORDS},
 named AS (
