@@ -13,12 +13,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from random import Random
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from reqsift.llm import invented
 from reqsift.llm.common import WORD, Memo, give_back, whole_text
 
 #: The patterns, in the order of their kinds.
@@ -31,8 +33,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: Bounds of the training sample: documents looked at, and stretches of words kept of
-#: those with and without a find; words on either side of a find.
-SAMPLE, STRETCHES, AROUND = 20_000, 1500, 8
+#: each sort; words on either side of a find.  In training, words are cut to ``LONGEST``.
+SAMPLE, STRETCHES, AROUND, LONGEST = 20_000, 1500, 8, 256
+#: Sorts of stretches: with a find of the patterns, without, with a made secret or lure.
+PATTERN, CLEAN, MADE, LURE = range(4)
 OUT, BEGIN, INSIDE = 0, 1, 2
 ROUNDS, RATE, PENALTY = 120, 0.25, 1e-4
 
@@ -42,6 +46,8 @@ _WORD = re.compile(WORD)
 _EDGE = "\"'`,;:()[]{}<>*#$%&|!?."
 _NAMES = re.compile(r"passw|secret|token|api_?key|key|auth|bearer|credential|akia", re.I)
 _RUN = re.compile(r"(.)\1+", re.S)
+_PIECE = re.compile(r"[^\W_]+")
+_VOWELS = set("aeiouyAEIOUY")
 
 
 class _Shape(dict):
@@ -86,6 +92,19 @@ def word_features(word: str) -> tuple[str, ...]:
         f"u{4 * upper // size}",
         f"v{min(len(set(core)), 24) // 3}",
     ]
+    piece = max(_PIECE.findall(core), key=len, default="")
+    inside = piece.translate(_SHAPE)
+    length, changes = min(len(piece), 48) // 6, min(len(_RUN.sub(r"\1", inside)), 16) // 2
+    letters = max(len(inside) - inside.count("0"), 1)
+    out += [
+        f"p{length}c{changes}",
+        f"p{length}d{6 * inside.count('0') // max(len(inside), 1)}",
+        f"p{length}w{5 * len([c for c in piece if c in _VOWELS]) // letters}",
+        f"signs{min(shape.count('-'), 6)}",
+        f"dots{min(core.count('.'), 3)}",
+    ]
+    if "/" in core:
+        out.append("url" if "://" in core else f"path{min(core.count('/'), 3)}")
     if size >= 8 and not core.strip("0123456789abcdefABCDEF"):
         out.append("hex")
     if digits and upper and upper + digits < size:
@@ -241,71 +260,96 @@ def _labels(text: str) -> list[tuple[str, int]]:
         inside = k < len(values) and values[k][0] < m.end()
         tag = OUT if not inside else INSIDE if open_value == k else BEGIN
         open_value = k if inside else None
-        out.append((m[0][:256], tag))
+        out.append((m[0][:LONGEST], tag))
     return out
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training stretches of sampled documents: round finds, and round other words."""
+def _made(rng: Random, labels: list[tuple[str, int]], sort: int) -> list[tuple[str, int]] | None:
+    """A stretch of a text in which a made word, with its lead, stands in place of one of the text's."""
+    n = rng.randrange(len(labels))
+    part = labels[max(0, n - AROUND) : n + AROUND + 1]
+    if any(tag for _, tag in part):
+        return None
+    n -= max(0, n - AROUND)
+    if sort == MADE:
+        lead, word = invented.with_secret(rng)
+        put = [(w, OUT) for w in lead] + [(word[:LONGEST], BEGIN)]
+    else:
+        plain = [w for w in (w.strip(_EDGE) for w, _ in part) if w.isalpha()] or ["name"]
+        lead = [rng.choice(invented.NAMED + invented.UNNAMED)] if rng.random() < 0.4 else []
+        put = [(w[:LONGEST], OUT) for w in (*lead, invented.lure(rng, plain))]
+    part = part[:n] + put + part[n + 1 :]
+    if base_spans(" ".join(w for w, _ in part)):
+        return None
+    over = len(part) - 2 * AROUND - 1
+    return part[over:] if over > 0 else part
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], each: int) -> Iterator[pa.RecordBatch]:
+    """Training stretches of sampled documents: round finds, round other words, and ``each`` of made ones."""
     rows = []
     for batch in batches:
         for key, text in zip(batch.column(0), batch.column(1)):
             key, text = key.as_py(), text.as_py()
-            labels = _labels(text)
+            labels, traits, rng = _labels(text), list(file_features(text)), Random(key)
             finds = [n for n, (_, tag) in enumerate(labels) if tag == BEGIN]
             others = [n for n, (w, tag) in enumerate(labels) if tag == OUT and not w.isalpha()]
-            chosen = [(n, True) for n in finds[:3]]
+            chosen = [(n, PATTERN) for n in finds[:3]]
             for pool in (others, range(len(labels))):
                 if len(pool):
-                    chosen.append((pool[key % len(pool)], False))
-            for n, find in chosen:
+                    chosen.append((pool[key % len(pool)], CLEAN))
+            parts = []
+            for n, sort in chosen:
                 part = labels[max(0, n - AROUND) : n + AROUND + 1]
-                if find or not any(tag for _, tag in part):
+                if sort == PATTERN or not any(tag for _, tag in part):
+                    parts.append((sort, part))
+            for sort in (MADE, LURE) * each if labels else ():
+                parts.append((sort, _made(rng, labels, sort)))
+            for sort, part in parts:
+                if part:
                     words, tags = zip(*part)
-                    rows.append((key, find, list(words), list(tags), list(file_features(text))))
+                    rows.append((key, sort, list(words), list(tags), traits))
     if rows:
-        names = ["key", "find", "words", "tags", "file"]
-        kinds = [pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string())]
+        names = ["key", "sort", "words", "tags", "file"]
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string())]
         columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, stretches: int = STRETCHES) -> Model | None:
-    """Train on a bounded sample of ``docs(text, …)``; None if it holds no secret to learn from.
+    """Train on a bounded sample of ``docs(text, …)``; None if no text has a word.
 
-    The sample is drawn by a hash of the text, so copies count once.
+    The sample is drawn by a hash of the text, so copies count once.  Each text gives as
+    many made stretches as it takes to fill their part of the sample.
     """
     rows = docs.select(F.xxhash64(whole_text(F.col("text"))).alias("key"), whole_text(F.col("text")).alias("text"))
-    rate = sample / max(docs.count(), 1)
+    number = max(docs.count(), 1)
+    rate, each = sample / number, max(1, min(2 * stretches // number, 50))
     drawn = rows.filter(F.pmod("key", F.lit(1 << 30)) < int(rate * (1 << 30))).dropDuplicates(["key"])
-    schema = "key long, find boolean, words array<string>, tags array<int>, file array<string>"
-    found = drawn.mapInArrow(_stretches, schema)
-    ranked = found.withColumn("turn", F.xxhash64("key", "words"))
-    kept = [
-        ranked.filter(F.col("find") == find).orderBy("turn").limit(stretches).collect()
-        for find in (True, False)
-    ]
-    return train(kept[0] + kept[1]) if kept[0] else None
+    schema = "key long, sort int, words array<string>, tags array<int>, file array<string>"
+    found = drawn.mapInArrow(lambda batches: _stretches(batches, each), schema)
+    turn = F.row_number().over(Window.partitionBy("sort").orderBy(F.xxhash64("key", "words"), "words"))
+    kept = found.withColumn("turn", turn).filter(F.col("turn") <= stretches)
+    drawn_rows = kept.orderBy("sort", "turn").collect()
+    return train(drawn_rows) if drawn_rows else None
 
 
 def train(rows: list) -> Model:
     """Maximum likelihood by adaptive gradient steps over all stretches at once."""
     size = 2 * AROUND + 1
-    words: dict[str, int] = {"": 0}
+    # Words that look alike share a row.
+    words: dict[tuple[str, ...], int] = {("none",): 0}
     files: dict[str, int] = {}
     ids = np.zeros((len(rows), size), dtype=np.int64)
     tags = np.zeros((len(rows), size), dtype=np.int64)
     traits = []
     for n, row in enumerate(rows):
-        ids[n, : len(row.words)] = [words.setdefault(w, len(words)) for w in row.words]
+        ids[n, : len(row.words)] = [words.setdefault(word_features(w), len(words)) for w in row.words]
         tags[n, : len(row.tags)] = row.tags
         traits.append([files.setdefault(f, len(files)) for f in row.file])
     traits = np.asarray(traits)
     features: dict[str, int] = {}
-    of_word = [
-        [features.setdefault(f, len(features)) for f in (word_features(w) if w else ("none",))]
-        for w in words
-    ]
+    of_word = [[features.setdefault(f, len(features)) for f in w] for w in words]
     starts = np.cumsum([0] + [len(f) for f in of_word[:-1]])
     flat, owner = np.concatenate(of_word), np.repeat(np.arange(len(words)), [len(f) for f in of_word])
     weights = np.zeros((len(features), len(_ROLES), 3))

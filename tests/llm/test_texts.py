@@ -110,6 +110,82 @@ def test_the_field_learns_what_the_patterns_find(spark, docs):
     assert right > 50 and wrong < 0.15 * right
 
 
+def known_shapes(rng):
+    """Keys in forms of public services, none of which the training words are made of."""
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    every = upper + upper.lower() + digits
+
+    def drawn(alphabet, size):
+        return "".join(rng.choices(alphabet, k=size))
+
+    return [
+        "ghp_" + drawn(every, 36),
+        "sk_live_" + drawn(every, 24),
+        f"xoxb-{drawn(digits, 12)}-{drawn(digits, 12)}-{drawn(every, 24)}",
+        f"eyJ{drawn(every, 33)}.eyJ{drawn(every, 60)}.{drawn(every, 43)}",
+        drawn(every + "/+", 40),
+        drawn(every + "/+", 62) + "==",
+        drawn(every, 32),
+        drawn(digits + "ABCDEF", 40),
+    ]
+
+
+LURES = (
+    "https://www.example.com/some/long/path/to/page-12345.html 550e8400-e29b-41d4-a716-446655440000 "
+    "2024-03-01T10:00:00Z getUserAccountByIdentifier MAX_RETRY_COUNT_LIMIT foo.bar@mail7.example.com "
+    "4720863463904856 /usr/local/lib/python3.13/site-packages v2.10.3-rc1 978-3-16-148410-0 x86_64-linux-gnu "
+    "$1,234,567.89 test_that_all_rows_are_kept() 0x7fff5fbff8c0 ISO-8859-1 the&&& THLYOR!! 97.51.17.173"
+).split()
+
+
+def test_the_field_finds_secrets_outside_the_patterns(spark, docs):
+    rng = random.Random(17)
+    prose = [" ".join(rng.choices("all that one reads here was seen in some long book".split(), k=60)) for _ in range(300)]
+    scanner = secrets.Scanner(secrets.fit(docs(list(enumerate(prose[:200])))))
+    found = total = 0
+    for text in prose[200:]:
+        words = text.split()
+        for key in known_shapes(rng):
+            k = rng.randrange(len(words) + 1)
+            now = " ".join([*words[:k], key, *words[k:]])
+            assert secrets.base_spans(now) == []
+            at, spans = now.index(key), scanner.spans(now)
+            # A few signs at its edges may be missing, nothing else may be tagged.
+            total += 1
+            found += any(a <= at and b >= at + len(key.rstrip("=")) for _, a, b in spans)
+            assert len(spans) <= 1
+        assert scanner.spans(text) == []
+        k = rng.randrange(len(words) + 1)
+        assert scanner.spans(" ".join([*words[:k], rng.choice(LURES), *words[k:]])) == []
+    assert found >= 0.95 * total
+
+
+def test_made_words_follow_their_seed():
+    first, again = ([secrets.invented.secret(random.Random(s)) for s in range(50)] for _ in range(2))
+    assert first == again and len(set(first)) == 50
+
+
+def test_expected_tags_are_sums_over_all_paths():
+    rng = np.random.default_rng(8)
+    for size in (1, 2, 5):
+        scores, moves = rng.normal(size=(2, size, 3)), rng.normal(size=(3, 3))
+        tags, pairs = np.zeros_like(scores), np.zeros((3, 3))
+        for n in range(2):
+            weight = {
+                path: math.exp(
+                    sum(scores[n, t, y] for t, y in enumerate(path)) + sum(moves[y, z] for y, z in zip(path, path[1:]))
+                )
+                for path in product(range(3), repeat=size)
+            }
+            for path, w in weight.items():
+                for t, y in enumerate(path):
+                    tags[n, t, y] += w / sum(weight.values())
+                for y, z in zip(path, path[1:]):
+                    pairs[y, z] += w / sum(weight.values())
+        got_tags, got_pairs = secrets._expected(scores, moves)
+        assert np.allclose(got_tags, tags) and np.allclose(got_pairs, pairs)
+
+
 def test_spans_and_redaction_of_odd_rows(spark, docs):
     key = "0123456789abcdef" * 2
     rows = [(1, f'a token = "{key}" b'), (2, None), (3, ""), (None, key), (1, key), (1, key), (4, "x " * 200_000 + key)]
