@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from reqsift.llm import licences
+
 OP5_LINES = r"""
 WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents
@@ -108,8 +110,24 @@ WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t
     + i * ln(0.02) + (n - i) * ln(0.98))) AS p
   FROM tried, unnest(range(0, k + 1)) AS u(i) WHERE k < n * 0.02
   GROUP BY stratum, rule, cutoff, n, k, tests
-), chosen AS (
+), proposed AS (
   SELECT stratum, rule, min(cutoff) AS cutoff FROM tail WHERE p * tests <= 0.05 GROUP BY stratum, rule
+), firsts AS (
+  SELECT good.stratum, good.doc_id, min(good.rule) FILTER (WHERE score > cutoff) AS first
+  FROM good LEFT JOIN proposed q ON q.stratum = good.stratum AND q.rule = good.rule GROUP BY good.stratum, good.doc_id
+), joint AS (
+  SELECT q.stratum, q.rule, q.cutoff, count(*) AS n, count(*) FILTER (WHERE first <= q.rule) AS k,
+    (SELECT count(DISTINCT stratum) FROM good) * (
+      SELECT CAST(product(m + 1) AS BIGINT) FROM (SELECT count(*) AS m FROM grid GROUP BY rule)
+    ) AS tests
+  FROM proposed q JOIN firsts ON firsts.stratum = q.stratum GROUP BY q.stratum, q.rule, q.cutoff
+), joint_tail AS (
+  SELECT stratum, rule, cutoff, tests, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+    + i * ln(0.02) + (n - i) * ln(0.98))) AS p
+  FROM joint, unnest(range(0, k + 1)) AS u(i) WHERE k < n * 0.02
+  GROUP BY stratum, rule, cutoff, tests
+), chosen AS (
+  SELECT stratum, rule, cutoff FROM joint_tail WHERE p * tests <= 0.05
 ), rejected AS (
   SELECT DISTINCT s.doc_id FROM score s JOIN chosen h ON h.stratum = s.stratum AND h.rule = s.rule
   WHERE score > cutoff
@@ -119,58 +137,67 @@ SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM f LEFT JOIN rejected r ON r.doc_id = f.doc_id
 """
 
+_TEMPLATES = ",\n".join(
+    "  ({}, '{}', '{}')".format(n, licence, body.replace("'", "''")) for n, (licence, body) in enumerate(licences.TEMPLATES)
+)
 OP1_LICENCES = r"""
-WITH template(licence, body) AS (VALUES
-  ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
-  ('BSD-3-Clause',
-   'Redistribution and use in source and binary forms, with or without modification, are permitted.'),
-  ('CC-BY-4.0', 'Licensed under the Creative Commons Attribution 4.0 International License.'),
-  ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
-  ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
-  ('MIT', 'Released under the MIT License.'),
-  ('MPL-2.0', 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.'),
-  ('Proprietary', 'All rights reserved.')
+WITH template(no, licence, body) AS (VALUES
+{templates}
 ), tt AS (
-  SELECT licence, term, count(*) AS tf
-  FROM (SELECT licence, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM template) GROUP BY ALL
+  SELECT no, licence, term, count(*) AS tf
+  FROM (SELECT no, licence, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM template) GROUP BY ALL
 ), d AS (
   SELECT doc_id, concat_ws('/', source, lang, doc_id // 1000, doc_id) AS path,
     concat_ws('/', source, lang, doc_id // 1000) AS folder, coalesce(text, '') AS text
   FROM documents
-), line AS (
-  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)
+), unit AS (
+  SELECT doc_id, sort, unnest(us) AS body, generate_subscripts(us, 1) AS pos FROM (
+    SELECT doc_id, 0 AS sort, string_split(text, chr(10)) AS us FROM d
+    UNION ALL SELECT doc_id, 1, list_filter(
+      regexp_split_to_array(text, '\n[^A-Za-z0-9]*\n'), lambda x: contains(x, chr(10))) FROM d
+    UNION ALL SELECT doc_id, 2, [text] FROM d WHERE regexp_matches(text, '\n[^A-Za-z0-9]*\n')
+  )
 ), lt AS (
-  SELECT doc_id, pos, term, count(*) AS tf
-  FROM (SELECT doc_id, pos, unnest(regexp_extract_all(
-    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS term FROM line)
+  SELECT doc_id, sort, pos, term, count(*) AS tf
+  FROM (SELECT doc_id, sort, pos, unnest(regexp_extract_all(
+    translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS term FROM unit)
   GROUP BY ALL
 ), total AS (SELECT count(*) AS n FROM d
-), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM lt GROUP BY term
+), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM lt WHERE sort = 0 GROUP BY term
 ), idf AS (
   SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf
   FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), total
 ), tv AS (
-  SELECT licence, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY licence)) AS w
+  SELECT no, licence, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY no)) AS w
   FROM tt JOIN idf USING (term)
 ), lv AS (
-  SELECT doc_id, pos, lt.term, tf, tf * coalesce(idf, ln(n + 1) + 1) AS w
+  SELECT doc_id, sort, pos, lt.term, tf, tf * coalesce(idf, ln(n + 1) + 1) AS w
   FROM lt LEFT JOIN idf ON idf.term = lt.term, total
-), size AS (SELECT doc_id, pos, sqrt(sum(w * w)) AS norm, sum(tf) AS words FROM lv GROUP BY doc_id, pos
+), size AS (
+  SELECT doc_id, sort, pos, sqrt(sum(w * w)) AS norm, sum(tf) AS words FROM lv GROUP BY doc_id, sort, pos
 ), hit AS (
-  SELECT lv.doc_id, lv.pos, licence, round(sum(lv.w * tv.w) / any_value(norm), 6) AS score, any_value(words) AS words
-  FROM lv JOIN tv ON tv.term = lv.term JOIN size s ON s.doc_id = lv.doc_id AND s.pos = lv.pos
-  GROUP BY lv.doc_id, lv.pos, licence
+  SELECT lv.doc_id, lv.sort, lv.pos, licence,
+    round(sum(lv.w * tv.w) / any_value(norm), 6) AS score, any_value(words) AS words
+  FROM lv JOIN tv ON tv.term = lv.term JOIN size s ON s.doc_id = lv.doc_id AND s.sort = lv.sort AND s.pos = lv.pos
+  GROUP BY lv.doc_id, lv.sort, lv.pos, no, licence
 ), best AS (
-  SELECT doc_id, pos, licence, score, words FROM hit WHERE score >= 0.75
-  QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, licence DESC) = 1
+  SELECT doc_id, sort, licence, score, words FROM hit WHERE score >= 0.75
+  QUALIFY row_number() OVER (PARTITION BY doc_id, sort, pos ORDER BY score DESC, licence DESC) = 1
+), tag AS (
+  SELECT doc_id, unnest(regexp_extract_all(text,
+    'SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+(?: (?:AND|OR|WITH) [A-Za-z0-9.+-]+)*)', 1)) AS licence FROM d
+), found AS (
+  SELECT doc_id, sort, licence, score, words FROM best
+  UNION ALL SELECT doc_id, 3, licence, 1.0, len(regexp_extract_all(lower(licence), '[a-z0-9]+')) + 3 FROM tag
 ), own AS (
-  SELECT doc_id, arg_max(licence, {'s': score, 'l': licence}) AS licence, max(score) AS score, sum(words) AS words
-  FROM best GROUP BY doc_id
+  SELECT doc_id, arg_max(licence, {'s': score, 'l': licence}) AS licence, max(score) AS score FROM found GROUP BY doc_id
+), covered AS (
+  SELECT doc_id, max(words) AS words FROM (SELECT doc_id, sort, sum(words) AS words FROM found GROUP BY doc_id, sort)
+  GROUP BY doc_id
 ), share AS (
   SELECT own.doc_id, own.licence, own.score, path, folder,
-    own.words / (SELECT sum(words) FROM size WHERE size.doc_id = own.doc_id) AS share
-  FROM own JOIN d ON d.doc_id = own.doc_id
+    c.words / (SELECT sum(words) FROM size WHERE size.doc_id = own.doc_id AND sort = 0) AS share
+  FROM own JOIN d ON d.doc_id = own.doc_id JOIN covered c ON c.doc_id = own.doc_id
 ), governing AS (
   SELECT folder AS up, licence, score FROM share WHERE share >= 0.2
   QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, share DESC, path) = 1
@@ -185,7 +212,7 @@ SELECT d.doc_id, d.path, coalesce(own.licence, i.licence) AS licence,
   CASE WHEN own.doc_id IS NOT NULL THEN 'own' WHEN i.up IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
   coalesce(own.score, i.score) AS score, CASE WHEN own.doc_id IS NULL THEN i.up END AS governed_by
 FROM d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN inherited i ON i.folder = d.folder
-"""
+""".replace("{templates}", _TEMPLATES)
 
 OP12_SUFFIXES = r"""
 WITH t AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents

@@ -1,10 +1,13 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 A rule rejects a document whose score lies above the rule's cutoff.  Cutoffs come
-from a fixed grid, so all labelled documents are a holdout: for a stratum, a cutoff is
-valid if so few of its good documents would be rejected that, by the exact binomial
-tail, a true rate above ``RISK`` is refuted at ``LEVEL`` divided by the number of all
-cutoffs tried.  Each rule takes its lowest valid cutoff in a stratum, or rests there.
+from a fixed grid, so all labelled documents are a holdout.  Each rule proposes for a
+stratum its lowest cutoff at which, by the exact binomial tail, a true rate of rejected
+good documents above ``RISK`` is refuted.  Then the rules are taken together, in their
+order: a rule acts if the same is refuted of all documents that it or a rule before it
+rejects, at ``LEVEL`` divided by the number of all settings that the rules could take in
+all strata.  So whichever setting was proposed, the chance that in any stratum more than
+``RISK`` of the good documents are rejected, by all rules together, is ``LEVEL`` at most.
 """
 
 from __future__ import annotations
@@ -17,9 +20,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reqsift.llm.common import WORD, let, whole_text, words
 from reqsift.workspace import materialize
 
-#: Largest rate of good documents that one rule may reject in a stratum, and the
-#: chance, over all cutoffs of all rules and strata, of any exceeding it.
+#: Largest rate of good documents that the rules may reject in a stratum, and the
+#: chance of exceeding it in any of them.
 RISK, LEVEL = 0.02, 0.05
+#: Rows of a table of cutoffs up to which it is sent to all tasks.
+SMALL = 10_000
 
 
 @dataclass(frozen=True)
@@ -148,6 +153,39 @@ def cutoffs(good: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFr
     return tried.join(F.broadcast(tests)).filter(valid).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
+def together(good: DataFrame, proposed: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """The ``proposed`` cutoffs of the rules that may act together, from good documents ``(stratum, scores)``.
+
+    Only counts by stratum and first rejecting rule are gathered.
+    """
+    settings = math.prod(len(r.cutoffs) + 1 for r in RULES)
+    above = F.filter("cutoffs", lambda c: F.get(F.col("scores"), c["rule"]) > c["cutoff"])
+    firsts = with_cutoffs(good, proposed).select(
+        "stratum", F.array_min(F.transform(above, lambda c: c["rule"])).alias("first")
+    ).groupBy("stratum", "first").agg(F.count("*").alias("n"))
+    of_stratum = firsts.groupBy("stratum").agg(
+        F.sum("n").alias("n"), F.collect_list(F.struct("first", F.col("n").alias("m"))).alias("firsts")
+    )
+    strata = of_stratum.agg(F.count("*").alias("strata"))
+    rejected = F.aggregate(
+        F.filter("firsts", lambda f: f["first"] <= F.col("rule")), F.lit(0).cast("long"), lambda k, f: k + f["m"]
+    )
+    tried = proposed.join(of_stratum, "stratum").withColumn("k", rejected)
+    tests = F.col("strata") * settings
+    valid = (F.col("k") < F.col("n") * risk) & (tail(F.col("n"), F.col("k"), risk) * tests <= level)
+    # One row with the number of strata goes to every row.
+    return tried.join(F.broadcast(strata)).filter(valid).select("stratum", "rule", "cutoff")
+
+
+def with_cutoffs(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows with the list of their stratum's cutoffs; ``chosen`` is a written table.
+
+    It goes to every task while it is small, so that a stratum of any size stays spread.
+    """
+    own = chosen.groupBy("stratum").agg(F.collect_list(F.struct("rule", "cutoff")).alias("cutoffs"))
+    return rows.join(F.broadcast(own) if chosen.count() <= SMALL else own, "stratum", "left")
+
+
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """Every row of ``docs(doc_id, text, <stratum>, …)`` with its counts, ``base_failed`` and ``kept``.
 
@@ -162,8 +200,8 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: floa
         F.col("doc_id").cast("long").alias("doc_id")
     ).agg(F.min("quality").alias("quality"))
     good = rows.filter("not base_failed").join(quality.filter("quality = 1"), "doc_id", "left_semi")
-    chosen = cutoffs(good, risk, level)
-    own = chosen.groupBy("stratum").agg(F.collect_list(F.struct("rule", "cutoff")).alias("cutoffs"))
-    joined = rows.join(own, "stratum", "left")
+    good = materialize(good.select("stratum", "scores"))
+    proposed = materialize(cutoffs(good, risk, level))
+    joined = with_cutoffs(rows, materialize(together(good, proposed, risk, level)))
     above = F.exists("cutoffs", lambda c: F.get(F.col("scores"), c["rule"]) > c["cutoff"])
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(above, F.lit(False)))

@@ -281,13 +281,56 @@ def test_licences_and_their_directories(spark, table):
     assert licences.scan(table([], "doc_id long, path string, text string")).count() == 0
 
 
+def test_full_texts_headers_and_tags(spark, table):
+    mit = f"MIT License\n\nCopyright (c) 2020 Someone\n\n{licences._MIT}\n\n{licences._MIT_NOTICE}\n\n{licences._AS_IS}\n"
+    two = f"Copyright (c) 2021, Someone\n\n{licences._BSD}\n\n{licences._BSD_TWO}\n\n{licences._BSD_AS_IS}"
+    three = two.replace("\n\nTHIS", f"\n\n3. {licences._BSD_THIRD}\n\nTHIS")
+    wrapped = re.sub(r"(.{40,60}) ", r"\1\n", mit)
+    gpl = (
+        "/*\n * One line to name the program.\n * Copyright (C) 2019 Someone\n *\n"
+        " * This program is free software: you can redistribute it and/or modify\n"
+        " * it under the terms of the GNU General Public License as published by\n"
+        " * the Free Software Foundation, either version 3 of the License, or\n"
+        " * (at your option) any later version.\n *\n * This program is distributed in the hope\n */\nint main;"
+    )
+    apache = (
+        "# Copyright 2020 Someone\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n"
+        "# you may not use this file except in compliance with the License.\n"
+        "# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n\nx = 1\n"
+    )
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    plain = ["the notice of the town was read and nobody may use it without name " * 3, "copyright law is hard\n\nall the software in here", ""]
+    bodies = [
+        mit, wrapped, two, three, gpl, gpl.replace("version 3", "version 2"), gpl.replace("GNU General", "GNU Affero General"),
+        gpl.replace("GNU General", "GNU Lesser General"), apache, mpl, licences._ISC,
+        "// SPDX-License-Identifier: MIT", "x\n# SPDX-License-Identifier: (MIT OR Apache-2.0)\ny", *plain,
+    ]
+    files = table([(n, f"{n}/f", b) for n, b in enumerate(bodies)], "doc_id long, path string, text string")
+    own = {r.doc_id: r.licence for r in licences.scan(files).collect()}
+    assert [own[n] for n in range(len(bodies))] == [
+        "MIT", "MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "GPL-2.0", "AGPL-3.0", "LGPL-3.0", "Apache-2.0",
+        "MPL-2.0", "ISC", "MIT", "MIT OR Apache-2.0", None, None, None,
+    ]
+    # A licence file governs its folder by its whole text.
+    tree = [(1, "r/LICENSE", wrapped), (2, "r/src/a", "plain words"), (3, "r/odd", "\n" * 5000 + "words\n \n")]
+    got = {r.doc_id: (r.licence, r.origin) for r in licences.scan(table(tree, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("MIT", "inherited")}
+
+
+def test_templates_from_a_table(spark, table):
+    known = table([("House-1.0", "Used by leave of the house only"), (None, "x"), ("y", None)], "licence string, body string")
+    files = table([(1, "a/b", "used by leave of the house only"), (2, "a/c", "words")], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.licence, r.origin) for r in licences.scan(files, known).collect()}
+    assert got == {1: ("House-1.0", "own"), 2: ("House-1.0", "inherited")}
+
+
 def test_cosines_are_those_of_the_definition(spark, table):
     texts = ["Released under the MIT license by the the team", "under the Apache License, version 2", "no licence"]
     files = table(list(enumerate(texts)), "doc_id long, text string")
     idf, unseen = licences.weights(files)
     least = 0.3
     got = {r.doc_id: [(x.score, x.licence) for x in r.l] for r in files.select(
-        "doc_id", licences.line_licences(F.col("text"), idf, unseen, least=least).alias("l")).collect()}
+        "doc_id", licences.unit_licences(F.col("text"), idf, unseen, least=least).alias("l")).collect()}
     n = len(texts)
     tokens = [re.findall("[a-z0-9]+", t.lower()) for t in texts]
     weight = lambda t: math.log((n + 1) / (sum(t in ts for ts in tokens) + 1)) + 1 if t in idf else math.log(n + 1) + 1
@@ -349,3 +392,15 @@ def test_cutoffs_keep_the_promised_rate(spark, docs, table):
     few = quality.judged(docs(rows[:100]), table(labels[:100], "doc_id long, quality int"))
     assert few.filter("not kept and not base_failed").count() == 0
     assert quality.judged(docs([]), table([], "doc_id long, quality int")).count() == 0
+
+
+def test_rules_together_keep_the_promised_rate(table):
+    """Each rule alone may reject 1 % of the good documents, but not both."""
+    good = [("en", [900 if n < 60 else 0, 900 if 60 <= n < 120 else 0, 0, 0, 0]) for n in range(6000)]
+    rows = table(good, "stratum string, scores array<long>")
+    proposed = quality.cutoffs(rows)
+    assert {r.rule for r in proposed.collect()} == {0, 1, 2, 3, 4}
+    stored = table([(r.stratum, r.rule, r.cutoff) for r in proposed.collect()], "stratum string, rule int, cutoff long")
+    assert {r.rule for r in quality.together(rows, stored).collect()} == {0}
+    nothing = table([], "stratum string, rule int, cutoff long")
+    assert quality.together(rows, nothing).count() == 0
