@@ -216,6 +216,23 @@ def test_spelling_is_a_distribution(spark, table):
         assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def test_mixer_learns_from_every_word_however_it_is_cut(spark, table, monkeypatch):
+    rng = random.Random(29)
+    words = sorted({"".join(rng.choices("kalomisu", k=rng.randint(2, 9))) for _ in range(300)})
+    learnt = {}
+    for last in ("tilo", "q" * 300):
+        for partitions in (1, 5):
+            vocabulary = table([(w, 1 + len(w)) for w in [*words, last]], "word string, c long").repartition(partitions)
+            learnt[last, partitions] = mixing.train(vocabulary, 50)
+    for last in ("tilo", "q" * 300):
+        assert np.allclose(learnt[last, 1].weights, learnt[last, 5].weights, atol=1e-4)
+        assert np.allclose(learnt[last, 1].refined, learnt[last, 5].refined, atol=1e-4)
+    # A word counts, however long it is; refinement is by the last byte plus one.
+    small = mixing.train(table([(w, 1) for w in words], "word string, c long"), 50)
+    long = mixing.train(table([(w, 1) for w in [*words, "q" * 300]], "word string, c long"), 50)
+    assert (long.refined != small.refined)[ord("q") + 1].any()
+
+
 def test_no_texts_to_score(spark, docs):
     assert mixing.scores(docs([])).count() == 0
 
