@@ -1,4 +1,5 @@
 import random
+import re
 
 import plain
 from pyspark.sql import functions as F
@@ -143,3 +144,11 @@ def test_noise_and_status(spark):
 def test_tiers(spark):
     got = column(spark, [0.3, 0.29999, 0.1, 0.09], rules.tier, "double")
     assert got == ["match", "borderline", "borderline", "reject"]
+
+
+def test_strip_removes_what_the_pattern_for_blanks_names(spark):
+    assert {chr(n) for n in range(0x10000) if not 0xD800 <= n < 0xE000 and re.match(text.BLANK, chr(n), re.ASCII)} == set(text.BLANKS)
+    rows = [(b + "a" + b + "b" + b,) for b in text.BLANKS] + [(text.BLANKS,), ("",), (None,)]
+    found = spark.createDataFrame(rows, "t string").select(text.strip(F.col("t")).alias("s"), "t")
+    assert all(r.s == (r.t and r.t.strip(text.BLANKS)) for r in found.collect())
+    assert "regexp" not in found._jdf.queryExecution().analyzed().toString()
